@@ -22,21 +22,44 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import base
+from gneiss.llm import base, kernels
 
 COLUMNS = ["h1", "h2", "doc", "text_hash", "pos", "n_docs"]
 SCHEMA = "h1 long, h2 long, doc long, text_hash long, pos int, n_docs long"
 
 
+def _split(min_chars: int):
+    """(h1, h2, doc, text_hash, pos) of every line whose key has min_chars code points or more."""
+    least = max(1, min_chars)
+
+    def run(batches):
+        for whole in batches:
+            for batch in kernels.slices(whole):
+                h1, h2, at, pos = [], [], [], []
+                for i, text in enumerate(kernels.texts(batch.column(2))):
+                    for p, line in enumerate(text.split(b"\n")):
+                        key = line.strip(b" \t\n\x0b\x0c\r").lower()
+                        if key and (least == 1 or len(key.decode("utf-8", "replace")) >= least):
+                            h = xxhash.xxh3_128_intdigest(key)
+                            h1.append(h >> 64)
+                            h2.append(h & 0xFFFFFFFFFFFFFFFF)
+                            at.append(i)
+                            pos.append(p)
+                at = pa.array(at, pa.int32())
+                hashes = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in (h1, h2)]
+                yield pa.RecordBatch.from_arrays([*hashes, batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32())], names=COLUMNS[:5])
+
+    return run
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(h1, h2, doc, text_hash, pos) of every line whose key has at least min_chars code points."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("key", base.lower_ascii(F.btrim("line", F.lit(base.WHITE)))).filter(F.length("key") >= max(1, min_chars))
-    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), "doc", "text_hash", "pos")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(_split(min_chars), "h1 long, h2 long, doc long, text_hash long, pos int")
 
 
 def _batch(rows: np.ndarray) -> pa.RecordBatch:
