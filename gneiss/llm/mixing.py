@@ -135,8 +135,9 @@ WITH docs AS (
     coalesce(sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_w
   FROM weighed
 ), level AS (
-  SELECT min(CAST(total - used AS DOUBLE) / CAST(all_w - used_w AS DOUBLE)) AS level FROM prefixes
-  WHERE cap > w * (CAST(total - used AS DOUBLE) / CAST(all_w - used_w AS DOUBLE))
+  SELECT arg_min(level, used_w) AS level FROM (
+    SELECT cap, w, used_w, CAST(total - used AS DOUBLE) / CAST(all_w - used_w AS DOUBLE) AS level FROM prefixes
+  ) WHERE cap > w * level
 ), targets AS (
   SELECT source, words, CASE WHEN cap <= w * level THEN CAST(cap AS DOUBLE) ELSE level * w END AS target FROM weighed, level
 ), needs AS (

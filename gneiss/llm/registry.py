@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gneiss.llm import linededup
+from gneiss.llm import linededup, mixing
 
 QUERIES = {
+    "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 SQL = {
+    "op9_mixing": mixing.OP9_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
