@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from gneiss.llm import linededup, mixing
+from gneiss.llm import chat, linededup, mixing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 SQL = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
+    "op8_chat_format": chat.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
 }
