@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gneiss.llm import chat, linededup, mixing, quality_rules
+from gneiss.llm import chat, linededup, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_chat_format": chat.op8_chat_format,
     "op9_mixing": mixing.op9_mixing,
