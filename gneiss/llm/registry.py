@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gneiss.llm import chat, linededup, mixing, quality_rules, simhash
+from gneiss.llm import chat, decontam, linededup, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op4_decontamination": decontam.op4_decontamination,
     "op1_simhash": simhash.op1_simhash,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_chat_format": chat.op8_chat_format,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_decontamination": decontam.OP4_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
