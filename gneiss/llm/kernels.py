@@ -5,9 +5,9 @@ from __future__ import annotations
 import pyarrow as pa
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512):
-    """Parts of a batch, so that a task holds Python objects for a few rows only."""
-    for at in range(0, batch.num_rows, rows):
+def slices(batch: pa.RecordBatch | pa.Array, rows: int = 512):
+    """Parts of a batch or column, so that a task holds Python objects for a few rows only."""
+    for at in range(0, len(batch), rows):
         yield batch.slice(at, rows)
 
 
