@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gneiss.llm import chat, classifier, decontam, linededup, mixing, quality_rules, simhash
+from gneiss.llm import chat, classifier, decontam, langid, linededup, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
     "op5_quality_classifier": classifier.op5_quality_classifier,
     "op4_decontamination": decontam.op4_decontamination,
     "op1_simhash": simhash.op1_simhash,
