@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gneiss.llm import chat, classifier, decontam, langid, linededup, lmscore, mixing, quality_rules, simhash
+from gneiss.llm import chat, classifier, decontam, langid, linededup, lmscore, mixing, quality_rules, simhash, warc
 
 QUERIES = {
+    "op6_warc": warc.op6_warc,
     "op7_lm_score": lmscore.op7_lm_score,
     "op3_language_id": langid.op3_language_id,
     "op5_quality_classifier": classifier.op5_quality_classifier,
