@@ -88,7 +88,8 @@ def plan(meta: DataFrame, weights: tuple, max_epochs: int) -> DataFrame:
     points = points.unionByName(cut.select("source", "need", F.col("before").alias("upto"), F.shiftleft("b", BITS).alias("threshold")))
     best = points.groupBy("source").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("need")).alias("off"), "upto", "threshold")).alias("best"))
     out = sources.alias("l").join(best.alias("r"), same, "left")
-    return out.select("l.source", "source_size", "target", "whole", F.coalesce(F.col("best.threshold"), F.lit(0)).alias("threshold"))
+    # A table of its own, so that a source with a third of all rows can be split in a join with it.
+    return base.checkpoint(out.select("l.source", "source_size", "target", "whole", F.coalesce(F.col("best.threshold"), F.lit(0)).alias("threshold")))
 
 
 def apply(rows: DataFrame, source_col: str, plans: DataFrame) -> DataFrame:
