@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import base, kernels
 
-MAX_ROWS, MAX_CHARS = 8000, 1 << 25
+MAX_ROWS, MAX_CHARS = 4000, 1 << 24
 DIM, NONZERO, VOCABULARY, SHAPES, SPAN = 64, 8, 20_000, 2_000, 2
 HIDDEN, EPOCHS, CHUNK = 32, 60, 1 << 16
 
@@ -90,7 +90,7 @@ class Features:
             pairs = []
             for w in kinds:
                 if (p := cache.get(w)) is None:
-                    if len(cache) > 400_000:
+                    if len(cache) > 100_000:
                         cache.clear()
                     cache[w] = p = self.ids(w)
                 pairs.append(p)
