@@ -1,15 +1,60 @@
-"""The corpus pipeline: documents to a training mix, in stages."""
+"""The corpus pipeline: from documents to a training mix.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns their columns; its result is
+written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gneiss.llm import base, classifier, decontam, linededup, mixing, simhash
+
+#: The score from which on a document counts as good.
+QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    model = classifier.train(docs, base.table(spark, sf_dir, "labels"))
+    return classifier.scored(docs, model).filter(F.col("__score") >= QUALITY).drop("__score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that ten documents or more hold; every document stays."""
+    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    changed = F.col("lines.n_dropped") > 0
+    done = done.withColumn("text", F.when(changed, F.col("lines.kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-duplicates."""
+    return simhash.representatives(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item."""
+    return decontam.uncontaminated(docs, base.table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents, so that sources have their weights."""
+    return mixing.repeated(mixing.mix(docs))
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
+#: No SQL has the classifier or the fingerprints; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = base.table(spark, sf_dir, "documents")
+    folder = base.scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

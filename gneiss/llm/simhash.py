@@ -51,8 +51,8 @@ def _fingerprints(width: int):
     def run(batches):
         for whole in batches:
             for batch in kernels.slices(whole):
-                prints = np.array([fingerprint(t, width) for t in kernels.texts(batch.column(1))], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc", "fp"])
+                prints = np.array([fingerprint(t, width) for t in kernels.texts(batch.column(2))], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc", "text_hash", "fp"])
 
     return run
 
@@ -175,10 +175,12 @@ def _links(bits: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
-    """(doc, fp, component): fp is the fingerprint as a long, component the smallest id reachable over links of ``bits`` bits or fewer."""
+    """(doc, text_hash, fp, root, component) of every row: fp is the fingerprint as a long, root the smallest fingerprint
+    reachable over links of ``bits`` bits or fewer, component the smallest id so reachable; text_hash is xxhash64 of the text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = base.checkpoint(rows.mapInArrow(_fingerprints(width), "doc long, fp long"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = base.checkpoint(rows.mapInArrow(_fingerprints(width), "doc long, text_hash long, fp long"))
     distinct = base.checkpoint(rows.groupBy("fp").agg(F.min("doc").alias("least")))
     shards = min(MAX_SHARDS, -(-distinct.count() // SHARD))
     tree = None
@@ -189,10 +191,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = dealt.groupBy("shard").applyInArrow(_links(bits), "a long, b long")
     linked = components(edges).withColumnRenamed("node", "fp")
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(least, "root").select("fp", "component")
+    linked = linked.join(least, "root").select("fp", "root", "component")
     # A table of its own, so that a fingerprint with a third of all rows can be split in the join.
-    classes = base.checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
-    return rows.join(classes, "fp").select("doc", "fp", "component")
+    classes = base.checkpoint(distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component")))
+    return rows.join(classes, "fp").select("doc", "text_hash", "fp", "root", "component")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs from each class of near-duplicates, that with the smallest id (and text hash, if ids repeat)."""
+    first = near_duplicates(docs, id_col, text_col).filter(F.col("doc").eqNullSafe(F.col("component")))
+    first = base.checkpoint(first.groupBy("root", "doc").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows")))
+    side = first.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).hint("shuffle_hash")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
+    kept = docs.join(side, same, "left_semi")
+    # Only rows that repeat an id and a text are left to tell apart.
+    return kept.dropDuplicates([id_col, text_col]) if first.filter("rows > 1").limit(1).count() else kept
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
