@@ -23,14 +23,23 @@ SUMMARY = ["query", "status", "rows", "query_ms", "write_ms", "total_ms", "file"
 
 
 def scanned(df: DataFrame) -> tuple[str, list[str]]:
-    """The kind of scan and the sorted columns that an optimised plan reads."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves, names, kinds = plan.collectLeaves(), set(), []
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        kinds.append(leaf.nodeName().split(" ")[0])
-        names |= {leaf.output().apply(k).name() for k in range(leaf.output().size())}
-    return "|".join(sorted(set(kinds))), sorted(names)
+    """The kind of table that a plan scans, and the sorted columns of it that the plan's nodes refer to."""
+    leaf_kinds, own, used = set(), {}, set()
+
+    def walk(plan) -> None:
+        children = plan.children()
+        if not children.size():
+            leaf_kinds.add(plan.nodeName().split(" ")[0])
+            own.update({plan.output().apply(k).exprId().id(): plan.output().apply(k).name() for k in range(plan.output().size())})
+            return
+        refs = plan.references().iterator()
+        while refs.hasNext():
+            used.add(refs.next().exprId().id())
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().analyzed())
+    return "|".join(sorted(leaf_kinds)), sorted(own[i] for i in used & own.keys())
 
 
 def read_ms(df: DataFrame) -> int:
