@@ -6,12 +6,11 @@ those internal names, so extra columns never clash with what an operator adds.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.session import remove, scratch, shared_dir  # noqa: F401
+
 #: ASCII white space: space and tab to carriage return, the bytes ``bytes.split()`` splits at.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = r"[\x20\x09-\x0D]+"
@@ -37,31 +36,6 @@ def fold(col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
-    return sc.getCheckpointDir()
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path in whatever store holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Compute once, into the shared folder: later reads neither repeat the work nor depend on an executor."""
     shared_dir(df.sparkSession)
