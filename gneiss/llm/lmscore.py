@@ -124,12 +124,18 @@ def _send(head, segments: int):
     return run
 
 
-def probes(keys: np.ndarray, level, bits: int):
-    """Bit places of (n-gram, level) within a segment."""
+LOW = np.uint64((1 << 32) - 1)
+
+
+def halves(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of (n-gram, level)."""
     g = mix(keys + np.uint64(1) + (np.uint64(level) << np.uint64(50)))
-    step = (g >> np.uint64(32)) | np.uint64(1)
-    for k in range(PROBES):
-        yield (g + np.uint64(k) * step) % np.uint64(bits)
+    return g & LOW, (g >> np.uint64(32)) | np.uint64(1)
+
+
+def place(a: np.ndarray, b: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th bit of an n-gram within its segment."""
+    return (((a + np.uint64(k) * b) & LOW) * np.uint64(bits)) >> np.uint64(32)
 
 
 def _fill(bits: int):
@@ -142,24 +148,24 @@ def _fill(bits: int):
         level = np.floor(np.log2(np.bincount(where, weights=counts))).astype(int) + 1
         flags = np.zeros(bits, dtype=np.uint8)
         for j in range(1, min(LEVELS, level.max()) + 1):
-            for at in probes(keys[level >= j], j, bits):
-                flags[at] = 1
+            a, b = halves(keys[level >= j], j)
+            for k in range(PROBES):
+                flags[place(a, b, k, bits)] = 1
         return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
     return run
 
 
 def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int) -> np.ndarray:
-    """Counts of n-grams, by probing level after level until one is absent."""
+    """Counts of distinct n-grams, by probing level after level until one is absent."""
     level = np.zeros(len(keys), dtype=np.int64)
-    at = np.arange(len(keys))
-    first = segment_of(keys, segments) * np.uint64(bits)
+    at, first = np.arange(len(keys)), segment_of(keys, segments) * np.uint64(bits)
     for j in range(1, LEVELS + 1):
-        there = np.ones(len(at), dtype=bool)
-        for place in probes(keys[at], j, bits):
-            p = first[at] + place
-            there &= (filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        at = at[there]
+        a, b = halves(keys[at], j)
+        for k in range(PROBES):
+            p = first[at] + place(a, b, k, bits)
+            there = (filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at, a, b = at[there], a[there], b[there]
         if not len(at):
             break
         level[at] = j
@@ -174,15 +180,25 @@ def _score(head, filter_, segments: int, bits: int, total: int, kinds: int):
 
     def run(batches):
         h, bloom = Head(*head.value), filter_.value
+
+        def read(keys):
+            """Estimates with each distinct n-gram probed once: frequent ones have many levels."""
+            kinds, where = np.unique(keys, return_inverse=True)
+            return estimate(kinds, bloom, segments, bits)[where]
+
+        frequent = estimate(mix(h.hashes) & KEY, bloom, segments, bits)
         for whole in batches:
-            for batch in kernels.slices(whole, 256):
+            for batch in kernels.slices(whole, 1024):
                 words = [tokens(t) for t in kernels.texts(batch.column(3))]
                 places = [h.places(w) for w in words]
                 pairs = [grams(h.hash(w, p)) for w, p in zip(words, places)]
                 ones, twos = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
                 size = np.array([len(w) for w in words])
                 begin = np.cumsum(size) - size
-                one, two = estimate(ones, bloom, segments, bits), estimate(twos, bloom, segments, bits)
+                flat = np.concatenate(places)
+                seen = flat >= 0
+                one, two = np.zeros(len(flat)), read(twos)
+                one[seen], one[~seen] = frequent[flat[seen]], read(ones[~seen])
                 # The count of the word before; texts begin with START, which is counted as often as END.
                 before = np.concatenate([[0.0], one[:-1]])
                 before[begin] = one[begin + size - 1]
@@ -190,8 +206,6 @@ def _score(head, filter_, segments: int, bits: int, total: int, kinds: int):
                 smooth = (one + 1) / (total + kinds + 1)
                 p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * smooth, smooth)
                 score = np.add.reduceat(np.log10(p), begin)
-                flat = np.concatenate(places)
-                seen = flat >= 0
                 logs = np.add.reduceat(np.where(seen, h.logs[flat] if len(h.logs) else 0.0, 0.0), begin)
                 known = np.add.reduceat(seen.astype(np.int64), begin)
                 m = len(words)
