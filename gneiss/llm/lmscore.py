@@ -225,6 +225,17 @@ def _score(head, filter_, segments: int, bits: int, total: int, kinds: int):
     return run
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent tokens, HEAD at most: those from a count on, found from numbers of tokens by steps of the counts' logarithm."""
+    step = F.floor(16 * F.log2("n")).cast("int")
+    least, taken = 1 << 30, 0
+    for row in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        if (taken := taken + row["count"]) > HEAD:
+            break
+        least = row["s"]
+    return counts.filter(step >= least)
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; training: which rows to learn from."""
     sc = docs.sparkSession.sparkContext
@@ -232,7 +243,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     learn = docs.filter(training).select(text.alias("text"))
     counts = base.checkpoint(learn.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total, kinds = counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(HEAD).toPandas()
+    top = frequent(counts).toPandas()
     head = sc.broadcast(([bytes(x) for x in top["token"]], top["n"].to_numpy(dtype=np.float64)))
     segments = max(1, -(-total // SEGMENT))
     bits = max(64, min(MAX_BITS, TOKEN_BITS * total) // segments // 8 * 8)
