@@ -42,6 +42,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def is_unique(df: DataFrame, *cols: str) -> bool:
-    n, d = df.select(F.count(F.lit(1)), F.count_distinct(F.struct(*cols))).first()
-    return n == d
+#: Rows of a table that may be broadcast.
+SMALL = 200_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A narrow table for the smaller side of a join: computed and counted, then broadcast if it has SMALL rows at
+    most, else hashed by the shuffle's partitions."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= SMALL else df.hint("shuffle_hash")

@@ -88,13 +88,15 @@ def plan(meta: DataFrame, weights: tuple, max_epochs: int) -> DataFrame:
     points = points.unionByName(cut.select("source", "need", F.col("before").alias("upto"), F.shiftleft("b", BITS).alias("threshold")))
     best = points.groupBy("source").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("need")).alias("off"), "upto", "threshold")).alias("best"))
     out = sources.alias("l").join(best.alias("r"), same, "left")
-    # A table of its own, so that a source with a third of all rows can be split in a join with it.
-    return base.checkpoint(out.select("l.source", "source_size", "target", "whole", F.coalesce(F.col("best.threshold"), F.lit(0)).alias("threshold")))
+    return out.select("l.source", "source_size", "target", "whole", F.coalesce(F.col("best.threshold"), F.lit(0)).alias("threshold"))
 
 
 def apply(rows: DataFrame, source_col: str, plans: DataFrame) -> DataFrame:
-    """rows: with __size and __key.  Adds the struct mix (size, source_size, target, repeats, taken)."""
-    side = plans.select(*(F.col(c).alias(f"__{c}") for c in plans.columns))
+    """rows: with __size and __key.  Adds the struct mix (size, source_size, target, repeats, taken).
+
+    The plans have a row per source; beyond a checked number, the join is a shuffle in which a hot source can be split.
+    """
+    side = base.sized(plans.select(*(F.col(c).alias(f"__{c}") for c in plans.columns)))
     joined = rows.join(side, rows[source_col].eqNullSafe(side["__source"]))
     repeats = F.col("__whole") + (F.col("__key") < F.col("__threshold")).cast("long")
     struct = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), repeats.alias("repeats"), (F.col("__size") * repeats).alias("taken"))
