@@ -43,7 +43,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
     shared = rows.filter(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    shared = shared.select(F.col("digest").alias("__digest"), F.col("n").alias("__n"), "first").hint("shuffle_hash")
+    shared = base.sized(shared.select(F.col("digest").alias("__digest"), F.col("n").alias("__n"), "first"))
     joined = rows.join(shared, (F.col("digest") == F.col("__digest")) & (F.col("n") == F.col("__n")), "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
