@@ -183,7 +183,7 @@ def per_document(matches: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a window of an item."""
-    bad = search(docs, items, id_col, text_col)[1].select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    bad = base.sized(search(docs, items, id_col, text_col)[1].select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).distinct())
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
     return docs.join(bad, same, "left_anti")
 
