@@ -6,6 +6,9 @@ those internal names, so extra columns never clash with what an operator adds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,15 @@ def sized(df: DataFrame) -> DataFrame:
     most, else hashed by the shuffle's partitions."""
     df = checkpoint(df)
     return F.broadcast(df) if df.count() <= SMALL else df.hint("shuffle_hash")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of this size for what is computed inside, to leave a worker's memory to its model."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -32,7 +32,7 @@ HEAD = 200_000
 #: Filter bits for each training token, the most bits in all (256 MB), probes per level, and the most levels.
 TOKEN_BITS, MAX_BITS, PROBES, LEVELS = 6, 1 << 31, 4, 40
 #: Training tokens per segment, tokens whose n-grams are sorted at once, and distinct tokens that a task counts before it sends them.
-SEGMENT, BATCH, DISTINCT = 1 << 21, 1 << 20, 300_000
+SEGMENT, BATCH, DISTINCT = 1 << 21, 1 << 19, 150_000
 LAMBDA = 0.5
 END, START = b"\n", np.uint64(0x9D39247E33776D41)
 KEY = np.uint64((1 << 48) - 1)
@@ -188,7 +188,7 @@ def _score(head, filter_, segments: int, bits: int, total: int, kinds: int):
 
         frequent = estimate(mix(h.hashes) & KEY, bloom, segments, bits)
         for whole in batches:
-            for batch in kernels.slices(whole, 1024):
+            for batch in kernels.slices(whole, 384):
                 words = [tokens(t) for t in kernels.texts(batch.column(3))]
                 places = [h.places(w) for w in words]
                 pairs = [grams(h.hash(w, p)) for w, p in zip(words, places)]
@@ -237,7 +237,15 @@ def frequent(counts: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; training: which rows to learn from."""
+    """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; training: which rows to learn from.
+
+    Computed at once, so that the filter can be taken off the workers again.
+    """
+    with base.small_batches(docs.sparkSession):
+        return _computed(docs, training, id_col, text_col)
+
+
+def _computed(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     text = F.coalesce(F.col(text_col), F.lit(""))
     learn = docs.filter(training).select(text.alias("text"))
@@ -252,8 +260,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     # The filter, MAX_BITS at most.
     for row in parts.toLocalIterator():
         bloom[row["segment"] * bits // 8 : (row["segment"] + 1) * bits // 8] = np.frombuffer(row["bits"], np.uint8)
+    shared = sc.broadcast(bloom)
+    del bloom
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc"), (~training).alias("held_out"), text.alias("text"))
-    rows = rows.mapInArrow(_score(head, sc.broadcast(bloom), segments, bits, total, kinds), ROWS)
+    rows = rows.mapInArrow(_score(head, shared, segments, bits, total, kinds), ROWS)
     # Tokens outside the head are joined with their counts; texts' own rows have no token and keep none.
     joined = rows.join(counts.select(F.col("token").alias("__token"), F.col("n").alias("c")), F.col("token") == F.col("__token"), "left")
     done = joined.groupBy("uid").agg(
@@ -262,7 +272,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         (F.sum(F.coalesce("logs", F.lit(0.0))) + F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1.0)).otherwise(0.0))).alias("logs"),
     )
     base_score = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
-    return done.select("doc", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
+    out = base.checkpoint(done.select("doc", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score"))
+    for broadcast in (head, shared):
+        broadcast.destroy()
+    return out
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
