@@ -32,7 +32,7 @@ HEAD = 200_000
 #: Filter bits for each training token, the most bits in all (256 MB), probes per level, and the most levels.
 TOKEN_BITS, MAX_BITS, PROBES, LEVELS = 6, 1 << 31, 4, 40
 #: Training tokens per segment, tokens whose n-grams are sorted at once, and distinct tokens that a task counts before it sends them.
-SEGMENT, BATCH, DISTINCT = 1 << 21, 1 << 19, 150_000
+SEGMENT, BATCH, DISTINCT = 1 << 20, 1 << 19, 150_000
 LAMBDA = 0.5
 END, START = b"\n", np.uint64(0x9D39247E33776D41)
 KEY = np.uint64((1 << 48) - 1)
