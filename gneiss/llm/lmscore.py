@@ -2,10 +2,11 @@
 
 All n-grams (n = 1, 2) of the training texts are counted over the whole input: tasks send sorted 48-bit hashes with
 counts to the segment of the hash space that each belongs to, as one block per segment, so a frequent
-n-gram is one entry per block.  A segment adds the counts up, quantises them to levels (level j: 2^(j-1) to
-2^j - 1) and sets bits for (n-gram, 1), ..., (n-gram, level) in its part of the filter.  The filter is broadcast; its size follows the number of training
-tokens up to MAX_BITS, beyond which it has more false positives instead.  A count is read by probing
-levels until one is absent, and stands for the middle of its level.  The score is the
+n-gram is one entry per block.  A segment adds the counts up, quantises them to levels (level j: unit * 2^(j-1) to
+unit * 2^j - 1) and sets bits for (n-gram, 1), ..., (n-gram, level) in its part of the filter.  The filter is broadcast; its size follows the number of training
+tokens up to MAX_BITS.  The unit is 1 as long as all levels fit, and doubles until they do beyond: larger
+corpora are quantised more coarsely from below, at the same rate of false positives.  A count is read by probing
+levels until one is absent, and stands for the middle of its level; below the unit that is 0, and smoothing takes over.  The score is the
 log10 probability of a text under p(w|v) = LAMBDA * c(vw) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1).
 
 The exact unigram base beside it comes from exact counts: those of the HEAD most frequent tokens are broadcast, those of all
@@ -31,6 +32,8 @@ from gneiss.llm import base, kernels
 HEAD = 200_000
 #: Filter bits for each training token, the most bits in all (256 MB), probes per level, and the most levels.
 TOKEN_BITS, MAX_BITS, PROBES, LEVELS = 6, 1 << 31, 4, 40
+#: Bits for each entry where the unit is above 1, and segments that its choice looks at.
+ENTRY_BITS, LOOK = 8, 64
 #: Training tokens per segment, tokens whose n-grams are sorted at once, and distinct tokens that a task counts before it sends them.
 SEGMENT, BATCH, DISTINCT = 1 << 20, 1 << 19, 150_000
 LAMBDA = 0.5
@@ -138,16 +141,26 @@ def place(a: np.ndarray, b: np.ndarray, k: int, bits: int) -> np.ndarray:
     return (((a + np.uint64(k) * b) & LOW) * np.uint64(bits)) >> np.uint64(32)
 
 
-def _fill(bits: int):
+def totals(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a segment, and their counts."""
+    blocks = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in parts.column("keys").to_pylist()]
+    wide = np.zeros((sum(map(len, blocks)), 8), dtype=np.uint8)
+    wide[:, :6] = np.concatenate(blocks)
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in parts.column("counts").to_pylist()])
+    keys, where = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+    return keys, np.bincount(where, weights=counts)
+
+
+def levels(counts: np.ndarray, unit: int) -> np.ndarray:
+    return np.minimum(LEVELS, np.floor(np.log2(np.maximum(counts, 0.5) / unit)).astype(int) + 1).clip(0)
+
+
+def _fill(bits: int, unit: int):
     def run(key, parts):
-        blocks = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in parts.column("keys").to_pylist()]
-        wide = np.zeros((sum(map(len, blocks)), 8), dtype=np.uint8)
-        wide[:, :6] = np.concatenate(blocks)
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in parts.column("counts").to_pylist()])
-        keys, where = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-        level = np.floor(np.log2(np.bincount(where, weights=counts))).astype(int) + 1
+        keys, counts = totals(parts)
+        level = levels(counts, unit)
         flags = np.zeros(bits, dtype=np.uint8)
-        for j in range(1, min(LEVELS, level.max()) + 1):
+        for j in range(1, level.max() + 1):
             a, b = halves(keys[level >= j], j)
             for k in range(PROBES):
                 flags[place(a, b, k, bits)] = 1
@@ -156,7 +169,21 @@ def _fill(bits: int):
     return run
 
 
-def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int) -> np.ndarray:
+def _spread(key, parts):
+    """(level, n): how many n-grams of a segment have each level for a unit of 1."""
+    n = np.bincount(levels(totals(parts)[1], 1))
+    return pa.table({"level": pa.array(np.arange(len(n))), "n": pa.array(n)})
+
+
+def unit_for(spread: dict[int, float]) -> int:
+    """The smallest power of two whose levels fit MAX_BITS; spread: numbers of n-grams by level for a unit of 1."""
+    shift = 0
+    while sum(n * max(0, level - shift) for level, n in spread.items()) * ENTRY_BITS > MAX_BITS:
+        shift += 1
+    return 1 << shift
+
+
+def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int, unit: int = 1) -> np.ndarray:
     """Counts of distinct n-grams, by probing level after level until one is absent."""
     level = np.zeros(len(keys), dtype=np.int64)
     at, first = np.arange(len(keys)), segment_of(keys, segments) * np.uint64(bits)
@@ -169,13 +196,13 @@ def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int) ->
         if not len(at):
             break
         level[at] = j
-    return np.where(level > 0, (3.0 * 2.0 ** (level - 1) - 1) / 2, 0.0)
+    return np.where(level > 0, (3.0 * unit * 2.0 ** (level - 1) - 1) / 2, 0.0)
 
 
 ROWS = "uid long, doc long, held_out boolean, n_tokens long, known long, logs double, score double, token binary, n long"
 
 
-def _score(head, filter_, segments: int, bits: int, total: int, kinds: int):
+def _score(head, filter_, segments: int, bits: int, unit: int, total: int, kinds: int):
     """A row for each text with what the head and the filter give, and a row for each distinct token outside the head."""
 
     def run(batches):
@@ -184,9 +211,9 @@ def _score(head, filter_, segments: int, bits: int, total: int, kinds: int):
         def read(keys):
             """Estimates with each distinct n-gram probed once: frequent ones have many levels."""
             kinds, where = np.unique(keys, return_inverse=True)
-            return estimate(kinds, bloom, segments, bits)[where]
+            return estimate(kinds, bloom, segments, bits, unit)[where]
 
-        frequent = estimate(mix(h.hashes) & KEY, bloom, segments, bits)
+        frequent = estimate(mix(h.hashes) & KEY, bloom, segments, bits, unit)
         for whole in batches:
             for batch in kernels.slices(whole, 384):
                 words = [tokens(t) for t in kernels.texts(batch.column(3))]
@@ -255,7 +282,13 @@ def _computed(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
     head = sc.broadcast(([bytes(x) for x in top["token"]], top["n"].to_numpy(dtype=np.float64)))
     segments = max(1, -(-total // SEGMENT))
     bits = max(64, min(MAX_BITS, TOKEN_BITS * total) // segments // 8 * 8)
-    parts = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary").groupBy("segment").applyInArrow(_fill(bits), "segment long, bits binary")
+    sent, unit = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary"), 1
+    if TOKEN_BITS * total > MAX_BITS:
+        # Segments are random parts of all n-grams, so some tell how many of each level there are.
+        step = max(1, segments // LOOK)
+        spread = sent.filter(F.col("segment") % step == 0).groupBy("segment").applyInArrow(_spread, "level long, n long").groupBy("level").agg(F.sum("n").alias("n"))
+        unit = unit_for({r["level"]: r["n"] * segments / -(-segments // step) for r in spread.collect()})
+    parts = sent.groupBy("segment").applyInArrow(_fill(bits, unit), "segment long, bits binary")
     bloom = np.zeros(segments * bits // 8, dtype=np.uint8)
     # The filter, MAX_BITS at most.
     for row in parts.toLocalIterator():
@@ -263,7 +296,7 @@ def _computed(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
     shared = sc.broadcast(bloom)
     del bloom
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc"), (~training).alias("held_out"), text.alias("text"))
-    rows = rows.mapInArrow(_score(head, shared, segments, bits, total, kinds), ROWS)
+    rows = rows.mapInArrow(_score(head, shared, segments, bits, unit, total, kinds), ROWS)
     # Tokens outside the head are joined with their counts; texts' own rows have no token and keep none.
     joined = rows.join(counts.select(F.col("token").alias("__token"), F.col("n").alias("c")), F.col("token") == F.col("__token"), "left")
     done = joined.groupBy("uid").agg(

@@ -298,17 +298,30 @@ def test_lm_score(docs, head, monkeypatch):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-def test_filter_keeps_quantised_counts():
-    keys = lmscore.mix(np.arange(5000, dtype=np.uint64)) & lmscore.KEY
-    times = np.random.default_rng(2).geometric(0.2, 5000)
+@pytest.mark.parametrize("unit", [1, 4])
+def test_filter_keeps_quantised_counts(unit):
     import pyarrow as pa
 
+    keys = lmscore.mix(np.arange(5000, dtype=np.uint64)) & lmscore.KEY
+    times = np.random.default_rng(2).geometric(0.2, 5000)
     bits = 5000 * 40 // 8 * 8
     wide = keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    out = lmscore._fill(bits)((pa.scalar(0),), pa.table({"segment": [0], "keys": pa.array([wide], pa.binary()), "counts": pa.array([times.astype(np.uint32).tobytes()], pa.binary())}))
-    got = lmscore.estimate(keys, np.frombuffer(out.column("bits")[0].as_py(), np.uint8), 1, bits)
-    level = np.floor(np.log2(times)) + 1
-    assert (got >= (3 * 2 ** (level - 1) - 1) / 2).all() and np.mean(got == (3 * 2 ** (level - 1) - 1) / 2) > 0.98
+    out = lmscore._fill(bits, unit)((pa.scalar(0),), pa.table({"segment": [0], "keys": pa.array([wide], pa.binary()), "counts": pa.array([times.astype(np.uint32).tobytes()], pa.binary())}))
+    got = lmscore.estimate(keys, np.frombuffer(out.column("bits")[0].as_py(), np.uint8), 1, bits, unit)
+    level = np.floor(np.log2(times / unit)) + 1
+    middle = np.where(level > 0, (3 * unit * 2.0 ** (level - 1) - 1) / 2, 0)
+    assert (got >= middle).all() and np.mean(got == middle) > 0.98
+
+
+def test_the_filters_unit_follows_its_bound(docs, monkeypatch):
+    assert lmscore.unit_for({1: 10.0, 3: 5.0}) == 1
+    monkeypatch.setattr(lmscore, "MAX_BITS", 8 * 11)
+    assert lmscore.unit_for({1: 10.0, 3: 5.0}) == 2
+    monkeypatch.setattr(lmscore, "MAX_BITS", 8 * 5)
+    assert lmscore.unit_for({0: 9.0, 1: 10.0, 3: 5.0}) == 4
+    monkeypatch.setattr(lmscore, "MAX_BITS", 4096)
+    got = lmscore.score(docs, F.lit(True)).collect()
+    assert len(got) == docs.count() and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
 # Classifier
