@@ -62,9 +62,9 @@ def context_vectors(texts: list[list], known: dict, extra: int) -> np.ndarray:
         for gap in range(1, SPAN + 1):
             if len(ids) > gap:
                 for at, near in ((ids[:-gap], ids[gap:]), (ids[gap:], ids[:-gap])):
-                    kind, where = np.unique(at, return_inverse=True)
-                    sums = np.zeros((len(kind), DIM), np.float32)
-                    np.add.at(sums, where, basis[near])
+                    order = np.argsort(at, kind="stable")
+                    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+                    kind, sums = at[order[starts]], np.add.reduceat(basis[near[order]], starts, axis=0)
                     seen = kind < len(terms)
                     out[kind[seen]] += sums[seen]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
@@ -159,7 +159,7 @@ def fit(rows: list[tuple]) -> tuple[Features, Network] | None:
         return None
     texts = [t.split() for _, t, _ in rows]
     words = {w: i for i, (w, _) in enumerate(sorted(Counter(w for t in texts for w in t).items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
-    shape_of = {w: shape(w) for t in texts for w in t}
+    shape_of = {w: shape(w) for w in {w for t in texts for w in t}}
     shapes = {w: i for i, (w, _) in enumerate(sorted(Counter(shape_of[w] for t in texts for w in t).items(), key=lambda x: (-x[1], x[0]))[:SHAPES])}
     features = Features(words, context_vectors(texts, words, 1), shapes, context_vectors([[shape_of[w] for w in t] for t in texts], shapes, 1))
     # A shape is also its own neighbour, so that rare ones stay apart.
