@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that ten documents or more hold; every document stays."""
-    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
-    changed = F.col("lines.n_dropped") > 0
-    done = done.withColumn("text", F.when(changed, F.col("lines.kept")).otherwise(F.col("text")))
+    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs), into="__lines")
+    changed = F.col("__lines.n_dropped") > 0
+    done = done.withColumn("text", F.when(changed, F.col("__lines.kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents, so that sources have their weights."""
-    return mixing.repeated(mixing.mix(docs))
+    return mixing.repeated(mixing.mix(docs, into="__mix"), "__mix")
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]

@@ -146,8 +146,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return gone.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("positions")).mapInArrow(_pack, "doc long, text_hash long, keep binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the struct column ``lines`` (n_lines, n_dropped, kept): kept is the text of the kept lines, '' for a null text."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "lines") -> DataFrame:
+    """docs with a struct column named by ``into`` (n_lines, n_dropped, kept): kept is the text of the kept lines, '' for a null text."""
 
     @F.pandas_udf("n_dropped long, kept string")
     def cut(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
@@ -171,7 +171,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         F.coalesce(F.col("__cut.n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.col("__cut.kept"), text).alias("kept"),
     )
-    return done.select(*(docs[c] for c in docs.columns), struct.alias("lines"))
+    return done.select(*(docs[c] for c in docs.columns), struct.alias(into))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ holds it, so no source's documents ever meet in one task.
 
 Defined results: a null or empty text has size 0 and is taken as 0 words; a null source is a source of its own, last
 in order; repeated rows with the same id and text are decided alike; an empty table gives an empty result.  Added columns are in one
-struct, ``mix``.
+struct, whose name is a parameter.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def plan(meta: DataFrame, weights: tuple, max_epochs: int) -> DataFrame:
     return out.select("l.source", "source_size", "target", "whole", F.coalesce(F.col("best.threshold"), F.lit(0)).alias("threshold"))
 
 
-def apply(rows: DataFrame, source_col: str, plans: DataFrame) -> DataFrame:
+def apply(rows: DataFrame, source_col: str, plans: DataFrame, into: str = "mix") -> DataFrame:
     """rows: with __size and __key.  Adds the struct mix (size, source_size, target, repeats, taken).
 
     The plans have a row per source; beyond a checked number, the join is a shuffle in which a hot source can be split.
@@ -100,20 +100,21 @@ def apply(rows: DataFrame, source_col: str, plans: DataFrame) -> DataFrame:
     joined = rows.join(side, rows[source_col].eqNullSafe(side["__source"]))
     repeats = F.col("__whole") + (F.col("__key") < F.col("__threshold")).cast("long")
     struct = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), repeats.alias("repeats"), (F.col("__size") * repeats).alias("taken"))
-    return joined.select(*(rows[c] for c in rows.columns if c not in ("__size", "__key")), struct.alias("mix"))
+    return joined.select(*(rows[c] for c in rows.columns if c not in ("__size", "__key")), struct.alias(into))
 
 
-def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: tuple = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """docs with the struct mix; only size and key of a document are shuffled or stored for the plan, not its text."""
+def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: tuple = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", into: str = "mix") -> DataFrame:
+    """docs with a struct named by ``into``; only size and key of a document are shuffled or stored for the plan, not its text."""
     rows = measured(docs, id_col, text_col, seed)
     meta = base.checkpoint(rows.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")))
-    return apply(rows, source_col, plan(meta, weights, max_epochs))
+    return apply(rows, source_col, plan(meta, weights, max_epochs), into)
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
+def repeated(mixed: DataFrame, into: str = "mix") -> DataFrame:
     """The mix itself: a row for each repetition, without the struct."""
-    kept = mixed.filter("mix.repeats > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.repeats"))))
-    return kept.drop("mix", "__n")
+    repeats = F.col(f"{into}.repeats")
+    kept = mixed.filter(repeats > 0).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), repeats)))
+    return kept.drop(into, "__n")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

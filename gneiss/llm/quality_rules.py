@@ -6,7 +6,7 @@ hosts (method of moments), so a host with few documents is judged mostly as the
 ``max_rate`` are rejected, and the verdict is joined back to the documents.
 
 Defined results: a null or empty text has no words, and so fails the base; a null host is a host of its own;
-repeated rows are judged alike and each counts for its host; an empty table gives an empty result.  Measures and verdicts are in one struct, ``rules``.
+repeated rows are judged alike and each counts for its host; an empty table gives an empty result.  Measures and verdicts are in one struct, whose name is a parameter.
 """
 
 from __future__ import annotations
@@ -84,8 +84,8 @@ def host_verdicts(judged: DataFrame, host: str, failed: Column, max_rate: float,
     return hosts.select("host", rate.alias("rate"), (rate > max_rate).alias("rejected"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """docs without the text and with the struct rules: measures, failed, base_failed, host_rate, kept."""
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, into: str = "rules") -> DataFrame:
+    """docs without the text and with a struct named by ``into``: measures, failed, base_failed, host_rate, kept."""
     failed, base_failed = F.lit(False), F.lit(False)
     for name, rule in RULES.items():
         failed = failed | rule()
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max
     verdicts = host_verdicts(rows, "__host", F.col("__failed"), max_rate)
     joined = rows.join(verdicts, F.col("__host").eqNullSafe(F.col("host")))
     rules = F.struct(*names, F.col("__failed").alias("failed"), F.col("__base_failed").alias("base_failed"), F.col("rate").alias("host_rate"), (~F.col("__base_failed") & ~F.col("rejected")).alias("kept"))
-    return joined.select(*(F.col("__row")[c].alias(c) for c in others), F.col("__host").alias(host_col), rules.alias("rules"))
+    return joined.select(*(F.col("__row")[c].alias(c) for c in others), F.col("__host").alias(host_col), rules.alias(into))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,9 +158,9 @@ def brute_lines(source, min_docs):
 @pytest.mark.parametrize("min_docs", [1, 2, 10])
 def test_line_dedup(docs, min_docs):
     source = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, min_docs=min_docs))
-    last = done.toDF(*[f"c{i}" for i in range(len(done.columns))])
-    got = last.select("c0", f"c{len(done.columns) - 1}.*").collect()
+    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, min_docs=min_docs), into="out")
+    assert done.columns == [*docs.columns, "out"]
+    got = done.select("doc_id", "out.*").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(brute_lines(source, min_docs), key=repr)
 
 
@@ -243,9 +243,9 @@ def test_quality_rules(docs):
     measured = docs.select("doc_id", "text", *(c.alias(f"m_{k}") for k, c in quality_rules.measures(F.col("text")).items()))
     for r in measured.collect():
         assert tuple(r)[2:] == brute_measures(r["text"]), r["doc_id"]
-    done = quality_rules.judge(docs.drop("rules", "n_words"))
+    done = quality_rules.judge(docs, into="out")
     assert done.count() == docs.count()
-    for r in done.select("doc_id", "rules.base_failed", "rules.kept", "rules.n_words").collect():
+    for r in done.select("doc_id", "out.base_failed", "out.kept", "out.n_words").collect():
         assert not (r["base_failed"] and r["kept"]) and r["base_failed"] >= (r["n_words"] < 50)
 
 
@@ -400,8 +400,8 @@ def test_chat_round_trip(spark):
 
 
 def test_mixing(docs):
-    source = docs.withColumnRenamed("mix", "other").drop("target")
-    got = mixing.mix(source).select("doc_id", "source", "text", "mix.*").collect()
+    source = docs
+    got = mixing.mix(source, into="out").select("doc_id", "source", "text", "out.*").collect()
     assert len(got) == docs.count()
     total = sum(r["size"] for r in got)
     by = {}
@@ -421,9 +421,9 @@ def test_mixing(docs):
     for s in names:
         assert by[s][0]["target"] == pytest.approx(target[s]) and by[s][0]["source_size"] == size[s]
         assert abs(sum(r["taken"] for r in by[s]) - target[s]) <= max(r["size"] for r in by[s])
-    again = mixing.mix(source.repartition(3)).select("doc_id", "source", "text", "mix.*").collect()
+    again = mixing.mix(source.repartition(3), into="out").select("doc_id", "source", "text", "out.*").collect()
     assert sorted(again, key=repr) == sorted(got, key=repr)
-    assert mixing.repeated(mixing.mix(source)).count() == sum(r["repeats"] for r in got)
+    assert mixing.repeated(mixing.mix(source, into="out"), "out").count() == sum(r["repeats"] for r in got)
 
 
 # Empty tables, and the pipeline
@@ -435,12 +435,25 @@ def test_empty_tables(spark, none, tmp_path):
     assert linededup.apply_bitmaps(none, linededup.keep_bitmaps(none)).count() == 0
     documents, matches = decontam.search(none, bench)
     assert documents.count() == matches.count() == 0
-    assert quality_rules.judge(none.drop("rules")).count() == 0
+    assert quality_rules.judge(none).count() == 0
     assert lmscore.score(none, F.lit(True)).count() == 0
-    assert mixing.mix(none.drop("mix")).count() == 0
+    assert mixing.mix(none).count() == 0
     assert langid.identified(none.select("text"), None).count() == 0
 
 
+def test_stages_on_edge_rows(spark, docs, none):
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, SMALL)
+        assert done.columns == docs.columns and done.dtypes == docs.dtypes
+        texts = {(r["doc_id"], r["text"]) for r in done.collect()}
+        if name != "line_dedup":
+            assert texts <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+        assert stage(spark, none, SMALL).count() == 0
+    kept = corpus_pipeline.line_dedup(spark, docs, SMALL)
+    assert kept.count() == docs.count()
+    assert {r["n_chars"] for r in kept.filter("doc_id >= 20").collect()} == {len("unique text number 3 of many\n") , len("unique text number 11 of many\n")}
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
