@@ -144,14 +144,16 @@ class Network:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column) -> list[tuple[bytes, int]]:
     """(text, label) of at most MAX_ROWS labelled rows and MAX_CHARS characters, the first in the order of a hash of the id."""
     named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter(F.col("__id").isNotNull() & F.col("__label").isNotNull()).groupBy("__id").agg(F.min("__label").alias("__label"))
-    there = docs.filter(usable).select(F.col(id_col).alias("__id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
-    order = [F.xxhash64("__id"), F.col("__id"), F.col("n")]
-    first = there.join(named, "__id").orderBy(*order).limit(MAX_ROWS)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    there = docs.filter(usable).select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), F.length(text).alias("n"))
+    order = [F.xxhash64("__id"), F.col("__id"), F.col("__hash")]
+    first = there.join(named, "__id").distinct().orderBy(*order).limit(MAX_ROWS)
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = first.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= MAX_CHARS).select("__id", "__label").distinct()
+    rows = first.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= MAX_CHARS).select("__id", "__hash", "__label")
     # MAX_ROWS ids at most.
-    texts = docs.filter(usable).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(base.checkpoint(rows)), "__id")
-    return sorted((r["__id"], (r["text"] or "").encode(), int(r["__label"])) for r in texts.collect())
+    texts = docs.filter(usable).select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("text")).join(F.broadcast(base.checkpoint(rows)), ["__id", "__hash"])
+    once = texts.groupBy("__id", "__hash", "__label").agg(F.first("text").alias("text"))
+    return sorted((r["__id"], r["text"].encode(), int(r["__label"])) for r in once.collect())
 
 
 def fit(rows: list[tuple]) -> tuple[Features, Network] | None:
