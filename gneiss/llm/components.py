@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def stars(pairs: DataFrame, keep) -> DataFrame:
-        least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # A table of its own, so that the pairs of a node with very many neighbours can be split in the join.
+        least = base.checkpoint(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         return keep(pairs.join(least, "a"))
 
     now = base.checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
