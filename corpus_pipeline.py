@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import base, classifier, decontam, linededup, mixing, simhash
+from gneiss.llm import base, classifier, decontam, jaccard, linededup, mixing, simhash
 
 #: The score from which on a document counts as good.
 QUALITY = 0.3
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
-    return simhash.representatives(docs)
+    """Keeps one document of each class of near-duplicates: similarity of 0.8 or more by sets of five-word shingles."""
+    return simhash.representatives(docs, classes=jaccard.near_duplicates)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,9 +197,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("doc", "text_hash", "fp", "root", "component")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs from each class of near-duplicates, that with the smallest id (and text hash, if ids repeat)."""
-    first = near_duplicates(docs, id_col, text_col).filter(F.col("doc").eqNullSafe(F.col("component")))
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=near_duplicates) -> DataFrame:
+    """One row of docs from each class of near-duplicates, that with the smallest id (and text hash, if ids repeat);
+    classes: the function that finds them, this module's or that of ``jaccard``."""
+    first = classes(docs, id_col, text_col).filter(F.col("doc").eqNullSafe(F.col("component")))
     first = base.checkpoint(first.groupBy("root", "doc").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows")))
     side = first.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).hint("shuffle_hash")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from gneiss.llm import chat, classifier, components, decontam, langid, linededup, lmscore, mixing, quality_rules, registry, simhash, warc
+from gneiss.llm import chat, classifier, components, decontam, jaccard, langid, linededup, lmscore, mixing, quality_rules, registry, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977} tail{i % 13}" for i in range(40_000))
@@ -136,6 +136,40 @@ def test_representatives(docs):
     assert [i for i, n in Counter(ids).items() if n > 1] == [7]
 
 
+# Near-duplicates by shingles
+
+
+def brute_similar(texts):
+    """Classes of similarity 0.8 or more by sets of five-word shingles."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and (a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    return label
+
+
+def test_near_dedup_stage_is_by_similarity(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    r = random.Random(8)
+    data = [(i, x["text"]) for i, x in enumerate(docs.collect())]
+    # Groups whose members differ from one text in some words, so that many are similar to it or by way of others only.
+    for group in range(8):
+        one = [f"g{group}w{r.randrange(400)}" for _ in range(120)]
+        for _ in range(16):
+            copy = list(one)
+            for at in r.sample(range(120), r.randrange(6)):
+                copy[at] = f"x{r.randrange(10**6)}"
+            data.append((len(data), " ".join(copy)))
+    label = brute_similar([t for _, t in data])
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()) == sorted(set(label))
+
+
 # Line deduplication
 
 
