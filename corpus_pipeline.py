@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more hold; every document stays."""
-    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs), into="__lines")
+    """Drops lines that ten documents or more hold, except where they occur first; every document stays."""
+    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, keep_first=True), into="__lines")
     changed = F.col("__lines.n_dropped") > 0
     done = done.withColumn("text", F.when(changed, F.col("__lines.kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -9,6 +9,10 @@ documents of the first and the last hash of its range, and the sums of these
 reports (two at most per range) decide.  The result is a compressed bitmap of
 kept lines per document, not text; :func:`apply_bitmaps` makes text of it.
 
+With ``keep_first`` a line that would go stays where it occurs first, by (document, text hash, position).  A range leaves
+out the first occurrence of a hash that begins in it; as its first hash may have begun in an earlier range,
+reports also have the first occurrence they know, and the least of these is put back.
+
 Defined results: a null or empty text is one empty line; a line that strips to
 nothing is never dropped (``min_chars`` of 0 counts as 1); repeated rows with the same id and
 text are one document, rows with the same id and other texts are two; an empty table gives
@@ -68,16 +72,17 @@ def _batch(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=COLUMNS)
 
 
-def stream(min_docs: int):
+def stream(min_docs: int, keep_first: bool = False):
     """Over rows sorted by (h1, h2, doc, text_hash, pos): the rows of hashes with min_docs documents or more; all rows of
-    the first and the last hash, which may go on in other ranges; and for these two a report with pos -1 and n_docs."""
+    the first and the last hash, which may go on in other ranges; and for these two a report with n_docs, the document of
+    the first occurrence, and -1 - its position.  keep_first: without the first occurrence of hashes that begin here."""
 
-    def report(key, docs):
-        none = pa.nulls(1, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), none, none, pa.array([-1], pa.int32()), pa.array([docs], pa.int64())], names=COLUMNS)
+    def report(key, docs, least):
+        doc = None if least[3] else int(least[0])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([doc], pa.int64()), pa.array([int(least[1])], pa.int64()), pa.array([-1 - int(least[2])], pa.int32()), pa.array([docs], pa.int64())], names=COLUMNS)
 
     def run(batches):
-        key, last, docs, first, waiting = None, None, 0, True, []
+        key, last, docs, first, waiting, least = None, None, 0, True, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -93,13 +98,14 @@ def stream(min_docs: int):
                 part = rows[lo:hi]
                 if (k := (int(part[0, 0]), int(part[0, 1]))) != key:
                     if key is not None and first:
-                        yield report(key, docs)
+                        yield report(key, docs, least)
                         first = False
-                    key, last, docs, waiting = k, None, 0, []
+                    key, last, docs, waiting, least = k, None, 0, [], part[0, 2:]
                 who = part[:, [2, 3, 5]]
                 docs += int((who[1:] != who[:-1]).any(axis=1).sum()) + (last is None or bool((who[0] != last).any()))
                 last = who[-1]
-                waiting.append(part)
+                # Rows that repeat an id and a text are one document, so its first line can be there several times.
+                waiting.append(part if first or not keep_first else part[(part[:, 2:] != least).any(axis=1)])
                 if first or docs >= min_docs:
                     out += waiting
                     waiting = []
@@ -108,7 +114,7 @@ def stream(min_docs: int):
         if key is not None:
             if waiting:
                 yield _batch(np.concatenate(waiting))
-            yield report(key, docs)
+            yield report(key, docs, least)
 
     return run
 
@@ -129,20 +135,24 @@ def unpack(keep: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8, offset=8), count=int.from_bytes(raw[:8], "little")).astype(bool)
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc, text_hash, keep) of each document that loses lines; text_hash is xxhash64 of its text.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased.  Keys of min_chars code points or more
-    that min_docs documents or more hold lose all their lines.
+    that min_docs documents or more hold lose all their lines, or with keep_first all but the first by (document, text hash, position).
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc", "text_hash"]
     dealt = lines(docs, id_col, text_col, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
-    found = base.checkpoint(dealt.mapInArrow(stream(min_docs), SCHEMA))
+    found = base.checkpoint(dealt.mapInArrow(stream(min_docs, keep_first), SCHEMA))
     # Two reports at most for each of n ranges: a bounded table.
-    rare = found.filter("pos < 0").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n")).filter(F.col("n") < min_docs)
-    gone = found.filter("pos >= 0").join(F.broadcast(rare.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    reports = found.filter("pos < 0").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.min(F.struct("doc", "text_hash", (-1 - F.col("pos")).alias("pos"))).alias("first"))
+    gone = found.filter("pos >= 0").join(F.broadcast(reports.filter(F.col("n") < min_docs).select("h1", "h2")), ["h1", "h2"], "left_anti")
+    if keep_first:
+        at = reports.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
+        same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("pos") == F.col("first.pos"))
+        gone = gone.join(F.broadcast(at), same, "left_anti")
     return gone.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("positions")).mapInArrow(_pack, "doc long, text_hash long, keep binary")
 
 

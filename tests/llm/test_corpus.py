@@ -216,6 +216,35 @@ def test_line_stream_over_cut_ranges():
     assert sorted(x for x in found if x[0] not in rare) == sorted((x[0], x[2], x[4]) for x in data if docs_of[x[0]] >= 25)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_first_occurrences_stay(spark, docs, parts, monkeypatch):
+    copies = "whole text, first line\nsecond line\nwhole text, first line"
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(i, copies) for i in range(100, 114)] + [(100, copies), (None, copies)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        done = linededup.apply_bitmaps(df, linededup.keep_bitmaps(df, min_docs=10, keep_first=True), into="out").select("doc_id", "text", "out.kept").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    dropped = {(i, t): kept for (i, t), (_, _, _, kept) in zip(data, brute_lines(data, 10))}
+    gone = {key(x) for _, t in data for x in (t or "").split("\n")} - {key(x) for kept in dropped.values() for x in kept.split("\n")} - {""}
+    seen, expected = set(), {}
+    for i, t in sorted(set(data), key=lambda x: (x[0] is not None, x[0] or 0)):
+        if i == 7:  # Two texts share the id; none of their lines goes.
+            expected[i, t] = t
+            continue
+        lines = []
+        for x in (t or "").split("\n"):
+            if key(x) not in gone or key(x) not in seen:
+                lines.append(x)
+            seen.add(key(x))
+        expected[i, t] = "\n".join(lines)
+    assert {(r["doc_id"], r["text"]): r["kept"] for r in done} == expected
+    assert expected[None, copies] == "whole text, first line\nsecond line" and not expected[100, copies]
+
+
 # Decontamination
 
 
