@@ -13,6 +13,8 @@ from gneiss.llm import base, classifier, decontam, jaccard, linededup, mixing, s
 
 #: The score from which on a document counts as good.
 QUALITY = 0.3
+#: Documents from which on lines of over 50 words stay in the first one only.
+PASSAGE_DOCS = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more hold, except where they occur first; every document stays."""
-    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, keep_first=True), into="__lines")
+    """Drops lines that ten documents or more hold, two for lines of over 50 words, except where they occur first; every document stays."""
+    done = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, keep_first=True, passage_docs=PASSAGE_DOCS), into="__lines")
     changed = F.col("__lines.n_dropped") > 0
     done = done.withColumn("text", F.when(changed, F.col("__lines.kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -36,7 +36,11 @@ COLUMNS = ["h1", "h2", "doc", "text_hash", "pos", "n_docs"]
 SCHEMA = "h1 long, h2 long, doc long, text_hash long, pos int, n_docs long"
 
 
-def _split(min_chars: int):
+#: Words that a long passage has more than; the lowest bit of h2 tells where passages have a bound of their own.
+PASSAGE = 50
+
+
+def _split(min_chars: int, passages: bool = False):
     """(h1, h2, doc, text_hash, pos) of every line whose key has min_chars code points or more."""
     least = max(1, min_chars)
 
@@ -49,6 +53,8 @@ def _split(min_chars: int):
                         key = line.strip(b" \t\n\x0b\x0c\r").lower()
                         if key and (least == 1 or len(key.decode("utf-8", "replace")) >= least):
                             h = xxhash.xxh3_128_intdigest(key)
+                            if passages:
+                                h = h >> 1 << 1 | (len(key.split()) > PASSAGE)
                             h1.append(h >> 64)
                             h2.append(h & 0xFFFFFFFFFFFFFFFF)
                             at.append(i)
@@ -60,10 +66,10 @@ def _split(min_chars: int):
     return run
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, passages: bool = False) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(_split(min_chars), "h1 long, h2 long, doc long, text_hash long, pos int")
+    return rows.mapInArrow(_split(min_chars, passages), "h1 long, h2 long, doc long, text_hash long, pos int")
 
 
 def _batch(rows: np.ndarray) -> pa.RecordBatch:
@@ -72,10 +78,12 @@ def _batch(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=COLUMNS)
 
 
-def stream(min_docs: int, keep_first: bool = False):
+def stream(min_docs: int, keep_first: bool = False, passage_docs: int | None = None):
     """Over rows sorted by (h1, h2, doc, text_hash, pos): the rows of hashes with min_docs documents or more; all rows of
     the first and the last hash, which may go on in other ranges; and for these two a report with n_docs, the document of
-    the first occurrence, and -1 - its position.  keep_first: without the first occurrence of hashes that begin here."""
+    the first occurrence, and -1 - its position.  keep_first: without the first occurrence of hashes that begin here.
+    passage_docs: the bound of hashes with an odd h2, if they have their own."""
+    passage_docs = min_docs if passage_docs is None else passage_docs
 
     def report(key, docs, least):
         doc = None if least[3] else int(least[0])
@@ -91,7 +99,7 @@ def stream(min_docs: int, keep_first: bool = False):
             starts = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1])
             ends = np.append(starts[1:], len(rows))
             # Only the first and the last hash of a batch can have rows in other batches.
-            wanted = ends - starts >= min_docs
+            wanted = ends - starts >= np.where(rows[starts, 1] & 1, passage_docs, min_docs)
             wanted[0] = wanted[-1] = True
             out = []
             for lo, hi in zip(starts[wanted].tolist(), ends[wanted].tolist()):
@@ -106,7 +114,7 @@ def stream(min_docs: int, keep_first: bool = False):
                 last = who[-1]
                 # Rows that repeat an id and a text are one document, so its first line can be there several times.
                 waiting.append(part if first or not keep_first else part[(part[:, 2:] != least).any(axis=1)])
-                if first or docs >= min_docs:
+                if first or docs >= (passage_docs if k[1] & 1 else min_docs):
                     out += waiting
                     waiting = []
             if out:
@@ -135,20 +143,21 @@ def unpack(keep: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8, offset=8), count=int.from_bytes(raw[:8], "little")).astype(bool)
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, passage_docs: int | None = None) -> DataFrame:
     """(doc, text_hash, keep) of each document that loses lines; text_hash is xxhash64 of its text.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased.  Keys of min_chars code points or more
     that min_docs documents or more hold lose all their lines, or with keep_first all but the first by (document, text hash, position).
+    passage_docs: another bound for keys of more than PASSAGE words.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc", "text_hash"]
-    dealt = lines(docs, id_col, text_col, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
-    found = base.checkpoint(dealt.mapInArrow(stream(min_docs, keep_first), SCHEMA))
+    dealt = lines(docs, id_col, text_col, min_chars, passage_docs is not None).repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
+    found = base.checkpoint(dealt.mapInArrow(stream(min_docs, keep_first, passage_docs), SCHEMA))
     # Two reports at most for each of n ranges: a bounded table.
     reports = found.filter("pos < 0").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n"), F.min(F.struct("doc", "text_hash", (-1 - F.col("pos")).alias("pos"))).alias("first"))
-    gone = found.filter("pos >= 0").join(F.broadcast(reports.filter(F.col("n") < min_docs).select("h1", "h2")), ["h1", "h2"], "left_anti")
+    gone = found.filter("pos >= 0").join(F.broadcast(reports.filter(F.col("n") < (F.lit(min_docs) if passage_docs is None else F.when(F.col("h2").bitwiseAND(1) == 1, passage_docs).otherwise(min_docs))).select("h1", "h2")), ["h1", "h2"], "left_anti")
     if keep_first:
         at = reports.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
         same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("pos") == F.col("first.pos"))

@@ -245,6 +245,14 @@ def test_first_occurrences_stay(spark, docs, parts, monkeypatch):
     assert expected[None, copies] == "whole text, first line\nsecond line" and not expected[100, copies]
 
 
+def test_long_passages_stay_in_one_document(spark):
+    long, fifty = " ".join(f"w{i}" for i in range(51)), " ".join(f"v{i}" for i in range(50))
+    data = [(i, f"own line {i}\n{long}\n{fifty}\nshort") for i in range(3)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in data], DOCS)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, SMALL).collect()}
+    assert got == {0: data[0][1], 1: f"own line 1\n{fifty}\nshort", 2: f"own line 2\n{fifty}\nshort"}
+
+
 # Decontamination
 
 
