@@ -3,10 +3,10 @@
 All n-grams (n = 1, 2) of the training texts are counted over the whole input: tasks send sorted 48-bit hashes with
 counts to the segment of the hash space that each belongs to, as one block per segment, so a frequent
 n-gram is one entry per block.  A segment adds the counts up, quantises them to levels (level j: unit * 2^(j-1) to
-unit * 2^j - 1) and sets bits for (n-gram, 1), ..., (n-gram, level) in its part of the filter.  The filter is broadcast; its size follows the number of training
-tokens up to MAX_BITS.  The unit is 1 as long as all levels fit, and doubles until they do beyond: larger
-corpora are quantised more coarsely from below, at the same rate of false positives.  A count is read by probing
-levels until one is absent, and stands for the middle of its level; below the unit that is 0, and smoothing takes over.  The score is the
+unit * 2^j - 1) and sets bits for (n-gram, 1), ..., (n-gram, level) in its part of the filter.  The filter's size follows the number of training
+tokens, and every n-gram is in it at every size.  Up to MAX_BITS it is broadcast; beyond, its segments stay where they are, the texts' distinct n-grams are sent to
+their segments, and the levels are sent back to the texts.  A count is read by probing
+levels until one is absent, and stands for the middle of its level.  The score is the
 log10 probability of a text under p(w|v) = LAMBDA * c(vw) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1).
 
 The exact unigram base beside it comes from exact counts: those of the HEAD most frequent tokens are broadcast, those of all
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gneiss.llm import base, kernels
 
 HEAD = 200_000
-#: Filter bits for each training token, the most bits in all (256 MB), probes per level, and the most levels.
+#: Filter bits for each training token, the most bits that are broadcast (256 MB), probes per level, and the most levels.
 TOKEN_BITS, MAX_BITS, PROBES, LEVELS = 6, 1 << 31, 4, 40
 #: Bits for each entry where the unit is above 1, and segments that its choice looks at.
 ENTRY_BITS, LOOK = 8, 64
@@ -183,10 +183,10 @@ def unit_for(spread: dict[int, float]) -> int:
     return 1 << shift
 
 
-def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int, unit: int = 1) -> np.ndarray:
-    """Counts of distinct n-grams, by probing level after level until one is absent."""
+def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int, unit: int = 1, local: bool = False) -> np.ndarray:
+    """Counts of distinct n-grams, by probing level after level until one is absent; local: filter_ is the keys' own segment."""
     level = np.zeros(len(keys), dtype=np.int64)
-    at, first = np.arange(len(keys)), segment_of(keys, segments) * np.uint64(bits)
+    at, first = np.arange(len(keys)), (np.zeros(len(keys), np.uint64) if local else segment_of(keys, segments) * np.uint64(bits))
     for j in range(1, LEVELS + 1):
         a, b = halves(keys[at], j)
         for k in range(PROBES):
@@ -199,21 +199,68 @@ def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int, un
     return np.where(level > 0, (3.0 * unit * 2.0 ** (level - 1) - 1) / 2, 0.0)
 
 
+def _ask(head, segments: int):
+    """(chunk, segment, keys): the distinct n-grams of each chunk of texts, cut by segment."""
+
+    def run(batches):
+        h = Head(*head.value)
+        for whole in batches:
+            for batch in kernels.slices(whole, 64):
+                chunks, keys = np.array(batch.column(0).to_pylist()), []
+                for text in kernels.texts(batch.column(1)):
+                    words = tokens(text)
+                    keys.append(np.concatenate(grams(h.hash(words, h.places(words)))))
+                for chunk in np.unique(chunks).tolist():
+                    found = np.unique(np.concatenate([keys[i] for i in np.flatnonzero(chunks == chunk)]))
+                    seg = segment_of(found, segments)
+                    starts = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1])
+                    raw = [found[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(found)))]
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(raw), pa.int64()), pa.array(seg[starts].astype(np.int64)), pa.array(raw, pa.binary())], names=["chunk", "segment", "keys"])
+
+    return run
+
+
+def _answer(bits: int):
+    """(chunk, keys, counts) of the questions to a segment."""
+
+    def run(asked: pa.Table, part: pa.Table) -> pa.Table:
+        own = np.frombuffer(part.column("bits")[0].as_py(), np.uint8) if len(part) else np.zeros(bits // 8, np.uint8)
+        counts = [estimate(np.frombuffer(x, np.uint64), own, 1, bits, local=True).tobytes() for x in asked.column("keys").to_pylist()]
+        return pa.table({"chunk": asked.column("chunk"), "keys": asked.column("keys"), "counts": pa.array(counts, pa.binary())})
+
+    return run
+
+
+def _score_asked(head, total: int, kinds: int):
+    """Scores of a chunk of texts from the answers to it."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, counts = (np.concatenate([np.frombuffer(x, t) for x in answers.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("counts", np.float64)))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        batches = rows.select(["uid", "doc", "held_out", "text"]).combine_chunks().to_batches()
+        return pa.Table.from_batches(_score(head, None, 1, 1, 1, total, kinds, lambda k: counts[np.searchsorted(keys, k)])(batches))
+
+    return run
+
+
 ROWS = "uid long, doc long, held_out boolean, n_tokens long, known long, logs double, score double, token binary, n long"
 
 
-def _score(head, filter_, segments: int, bits: int, unit: int, total: int, kinds: int):
+def _score(head, filter_, segments: int, bits: int, unit: int, total: int, kinds: int, known_counts=None):
     """A row for each text with what the head and the filter give, and a row for each distinct token outside the head."""
 
     def run(batches):
-        h, bloom = Head(*head.value), filter_.value
+        h, bloom = Head(*head.value), filter_ and filter_.value
 
         def read(keys):
             """Estimates with each distinct n-gram probed once: frequent ones have many levels."""
             kinds, where = np.unique(keys, return_inverse=True)
             return estimate(kinds, bloom, segments, bits, unit)[where]
 
-        frequent = estimate(mix(h.hashes) & KEY, bloom, segments, bits, unit)
+        if known_counts:
+            read = known_counts
+        frequent = None if known_counts else estimate(mix(h.hashes) & KEY, bloom, segments, bits, unit)
         for whole in batches:
             for batch in kernels.slices(whole, 384):
                 words = [tokens(t) for t in kernels.texts(batch.column(3))]
@@ -225,7 +272,10 @@ def _score(head, filter_, segments: int, bits: int, unit: int, total: int, kinds
                 flat = np.concatenate(places)
                 seen = flat >= 0
                 one, two = np.zeros(len(flat)), read(twos)
-                one[seen], one[~seen] = frequent[flat[seen]], read(ones[~seen])
+                if frequent is None:
+                    one = read(ones)
+                else:
+                    one[seen], one[~seen] = frequent[flat[seen]], read(ones[~seen])
                 # The count of the word before; texts begin with START, which is counted as often as END.
                 before = np.concatenate([[0.0], one[:-1]])
                 before[begin] = one[begin + size - 1]
@@ -281,22 +331,25 @@ def _computed(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
     top = frequent(counts).toPandas()
     head = sc.broadcast(([bytes(x) for x in top["token"]], top["n"].to_numpy(dtype=np.float64)))
     segments = max(1, -(-total // SEGMENT))
-    bits = max(64, min(MAX_BITS, TOKEN_BITS * total) // segments // 8 * 8)
-    sent, unit = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary"), 1
-    if TOKEN_BITS * total > MAX_BITS:
-        # Segments are random parts of all n-grams, so some tell how many of each level there are.
-        step = max(1, segments // LOOK)
-        spread = sent.filter(F.col("segment") % step == 0).groupBy("segment").applyInArrow(_spread, "level long, n long").groupBy("level").agg(F.sum("n").alias("n"))
-        unit = unit_for({r["level"]: r["n"] * segments / -(-segments // step) for r in spread.collect()})
-    parts = sent.groupBy("segment").applyInArrow(_fill(bits, unit), "segment long, bits binary")
-    bloom = np.zeros(segments * bits // 8, dtype=np.uint8)
-    # The filter, MAX_BITS at most.
-    for row in parts.toLocalIterator():
-        bloom[row["segment"] * bits // 8 : (row["segment"] + 1) * bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    shared = sc.broadcast(bloom)
-    del bloom
+    bits = max(64, TOKEN_BITS * total // segments // 8 * 8)
+    sent = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary")
+    parts = sent.groupBy("segment").applyInArrow(_fill(bits, 1), "segment long, bits binary")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc"), (~training).alias("held_out"), text.alias("text"))
-    rows = rows.mapInArrow(_score(head, shared, segments, bits, unit, total, kinds), ROWS)
+    shared = None
+    if TOKEN_BITS * total <= MAX_BITS:
+        bloom = np.zeros(segments * bits // 8, dtype=np.uint8)
+        # The filter, MAX_BITS at most.
+        for row in parts.toLocalIterator():
+            bloom[row["segment"] * bits // 8 : (row["segment"] + 1) * bits // 8] = np.frombuffer(row["bits"], np.uint8)
+        shared = sc.broadcast(bloom)
+        del bloom
+        rows = rows.mapInArrow(_score(head, shared, segments, bits, 1, total, kinds), ROWS)
+    else:
+        # Written once, so that questions and answers are of the same chunks.
+        chunked = base.checkpoint(rows.withColumn("chunk", F.shiftright("uid", 6)))
+        asked = chunked.select("chunk", "text").mapInArrow(_ask(head, segments), "chunk long, segment long, keys binary")
+        answers = asked.groupBy("segment").cogroup(parts.groupBy("segment")).applyInArrow(_answer(bits), "chunk long, keys binary, counts binary")
+        rows = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_asked(head, total, kinds), ROWS)
     # Tokens outside the head are joined with their counts; texts' own rows have no token and keep none.
     joined = rows.join(counts.select(F.col("token").alias("__token"), F.col("n").alias("c")), F.col("token") == F.col("__token"), "left")
     done = joined.groupBy("uid").agg(
@@ -306,7 +359,7 @@ def _computed(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
     )
     base_score = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(total + kinds + 1)))
     out = base.checkpoint(done.select("doc", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score"))
-    for broadcast in (head, shared):
+    for broadcast in filter(None, (head, shared)):
         broadcast.destroy()
     return out
 

@@ -395,6 +395,16 @@ def test_the_filters_unit_follows_its_bound(docs, monkeypatch):
     assert len(got) == docs.count() and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_a_filter_beyond_the_broadcast_scores_the_same(docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "SEGMENT", 4096)
+    monkeypatch.setattr(lmscore, "HEAD", 100)
+    # Sums of the base are added in any order.
+    plain = lambda: sorted([(*r[:5], round(r[5], 4), round(r[6], 9)) for r in rows(lmscore.score(docs, F.lit(True)))], key=repr)
+    one = plain()
+    monkeypatch.setattr(lmscore, "MAX_BITS", 4096)
+    assert plain() == one
+
+
 # Classifier
 
 
