@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from gneiss.llm import base, kernels
 
 MAX_ROWS, MAX_CHARS = 4000, 1 << 24
+#: Characters of a text that is too long for the fitting sample by itself.
+LONGEST = 1 << 20
 DIM, NONZERO, VOCABULARY, SHAPES, SPAN = 64, 8, 20_000, 2_000, 2
 HIDDEN, EPOCHS, CHUNK = 32, 60, 1 << 16
 
@@ -142,12 +144,14 @@ class Network:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column) -> list[tuple[bytes, int]]:
-    """(text, label) of at most MAX_ROWS labelled rows and MAX_CHARS characters, the first in the order of a hash of the id."""
+    """(text, label) of at most MAX_ROWS labelled rows and MAX_CHARS characters, the first in the order of a hash of the id;
+    only texts of over LONGEST characters are passed over."""
     named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter(F.col("__id").isNotNull() & F.col("__label").isNotNull()).groupBy("__id").agg(F.min("__label").alias("__label"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     there = docs.filter(usable).select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), F.length(text).alias("n"))
     order = [F.xxhash64("__id"), F.col("__id"), F.col("__hash")]
-    first = there.join(named, "__id").distinct().orderBy(*order).limit(MAX_ROWS)
+    labelled = there.join(named, "__id").distinct()
+    first = labelled.filter(F.col("n") <= LONGEST).orderBy(*order).limit(MAX_ROWS)
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = first.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= MAX_CHARS).select("__id", "__hash", "__label")
     # MAX_ROWS ids at most.

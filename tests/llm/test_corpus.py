@@ -422,6 +422,17 @@ def test_classifier(spark, docs, none):
     assert classifier.scored(docs, classifier.train(docs, labels2)).count() == docs.count()
 
 
+def test_a_long_text_leaves_the_sample_to_others(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "MAX_CHARS", 1000)
+    monkeypatch.setattr(classifier, "LONGEST", 100)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    first = df.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    df = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), 500)).otherwise(F.col("text")))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    got = classifier.sample(df, labels, "doc_id", "text", "quality", F.lit(True))
+    assert [i for i, *_ in got] == [i for i in range(6) if i != first]
+
+
 # WARC
 
 
