@@ -204,7 +204,10 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     chosen = rows.filter(F.col("h") < F.coalesce(F.try_element_at(parts, F.col("lang")), F.lit(0)))
     # The last tenth of the sample, of CALIBRATION_DOCS rows per language at most, is for calibration.
     last = F.col("h") >= 0.9 * F.try_element_at(parts, F.col("lang"))
-    counts = _counts(chosen.filter(~last)) or _counts(chosen)
+    # A language without other rows has them all counted.
+    counted = [r["lang"] for r in chosen.filter(~last).select("lang").distinct().collect()]
+    last = last & F.col("lang").isin(counted)
+    counts = _counts(chosen.filter(~last))
     if not counts:
         return None
     held: dict = {}

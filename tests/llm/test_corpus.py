@@ -351,6 +351,11 @@ def test_language_id(spark, docs):
     assert {r["__lang"]["lang"] for r in langid.identified(docs.select("text"), None).collect()} == {"und"}
 
 
+def test_languages_of_few_rows_are_learned(spark):
+    df = spark.createDataFrame([(i, f"some words of language {i}", f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
+    assert len(langid.train(df, F.lit(True))["langs"]) == 60
+
+
 @pytest.mark.parametrize("head", [3, 200_000])
 def test_lm_score(docs, head, monkeypatch):
     monkeypatch.setattr(lmscore, "HEAD", head)
