@@ -18,12 +18,14 @@ def get_or_create(app: str = "gneiss", **conf) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.aggregatePushdown": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints go once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none, as in tests."""
+    """The folder that all executors share; one is made only where the session names none and runs in one process, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
     return sc.getCheckpointDir()
 
