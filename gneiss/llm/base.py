@@ -6,7 +6,7 @@ those internal names, so extra columns never clash with what an operator adds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +24,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its plain name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of ``taken`` has it."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kind(df: DataFrame, column: str) -> str:
+    """The type of a column, as in a schema's text."""
+    return next(f.dataType.simpleString() for f in df.schema if f.name.lower() == column.lower())
+
+
+def id_key(df: DataFrame, id_col: str) -> Column:
+    """An id as a long: integers are kept, other ids are hashed (xxhash64); null stays null."""
+    c = quoted(id_col)
+    return c.cast("long") if kind(df, id_col) in ("tinyint", "smallint", "int", "bigint") else F.when(c.isNotNull(), F.xxhash64(c))
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
@@ -45,15 +72,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of a table that may be broadcast.
-SMALL = 200_000
+#: Rows of a table that may be broadcast, the bytes of its texts and binaries, and rows of a shuffle's partition that may be hashed in memory.
+SMALL, SMALL_BYTES, HASHED = 200_000, 1 << 25, 500_000
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """A narrow table for the smaller side of a join: computed and counted, then broadcast if it has SMALL rows at
-    most, else hashed by the shuffle's partitions."""
+    """A narrow table for the smaller side of a join: computed and measured, then broadcast if it has SMALL rows and SMALL_BYTES
+    bytes at most, hashed by the shuffle's partitions if these are small enough, and else sorted, which spills."""
     df = checkpoint(df)
-    return F.broadcast(df) if df.count() <= SMALL else df.hint("shuffle_hash")
+    wide = sum((F.coalesce(F.octet_length(quoted(f.name)), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() in ("string", "binary")), F.lit(0).cast("long"))
+    n, size = df.select(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0))).first()
+    if n <= SMALL and size <= SMALL_BYTES:
+        return F.broadcast(df)
+    return df.hint("shuffle_hash" if n <= HASHED * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else "merge")
 
 
 @contextmanager
