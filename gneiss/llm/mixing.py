@@ -7,7 +7,8 @@ prefixes of the keys (24 bits) whose words come nearest to what the whole repeti
 found by sums over 4096 buckets of keys per source and then over the 4096 parts of the bucket that
 holds it, so no source's documents ever meet in one task.
 
-Defined results: a null or empty text has size 0 and is taken as 0 words; a null source is a source of its own, last
+Defined results: a null or empty text has size 0 and is taken as 0 words; a very long text is counted whole and is one document, so a
+source's words come near its target but for the size of its largest document at the threshold; equal keys are taken together; a null source is a source of its own, last
 in order; repeated rows with the same id and text are decided alike; an empty table gives an empty result.  Added columns are in one
 struct, whose name is a parameter.
 """
@@ -23,13 +24,13 @@ BITS = 12
 
 
 def _key(id_col: str, text_col: str, seed: str) -> Column:
-    text = F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))
+    text = F.concat(F.lit(seed + "|"), F.coalesce(base.quoted(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(base.quoted(text_col), F.lit("")))
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 2 * BITS // 4), 16, 10).cast("long")
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, seed: str) -> DataFrame:
-    """docs with __size (words) and __key (24 seeded bits)."""
-    return docs.withColumns({"__size": F.size(base.words(F.col(text_col))).cast("long"), "__key": _key(id_col, text_col, seed)})
+def measured(docs: DataFrame, id_col: str, text_col: str, seed: str, size: str = "__size", key: str = "__key") -> DataFrame:
+    """docs with two more columns: their words, and 24 seeded bits."""
+    return docs.withColumns({size: F.size(base.words(base.quoted(text_col))).cast("long"), key: _key(id_col, text_col, seed)})
 
 
 def weighted(sources: DataFrame, weights: tuple) -> DataFrame:
@@ -91,30 +92,34 @@ def plan(meta: DataFrame, weights: tuple, max_epochs: int) -> DataFrame:
     return out.select("l.source", "source_size", "target", "whole", F.coalesce(F.col("best.threshold"), F.lit(0)).alias("threshold"))
 
 
-def apply(rows: DataFrame, source_col: str, plans: DataFrame, into: str = "mix") -> DataFrame:
-    """rows: with __size and __key.  Adds the struct mix (size, source_size, target, repeats, taken).
+def apply(rows: DataFrame, source_col: str, plans: DataFrame, into: str = "mix", size: str = "__size", key: str = "__key") -> DataFrame:
+    """rows: as measured() gives them.  Adds the struct ``into`` (size, source_size, target, repeats, taken) for size and key.
 
     The plans have a row per source; beyond a checked number, the join is a shuffle in which a hot source can be split.
     """
-    side = base.sized(plans.select(*(F.col(c).alias(f"__{c}") for c in plans.columns)))
-    joined = rows.join(side, rows[source_col].eqNullSafe(side["__source"]))
-    repeats = F.col("__whole") + (F.col("__key") < F.col("__threshold")).cast("long")
-    struct = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), repeats.alias("repeats"), (F.col("__size") * repeats).alias("taken"))
-    return joined.select(*(rows[c] for c in rows.columns if c not in ("__size", "__key")), struct.alias(into))
+    names = base.unused(rows.columns, *(f"__{c}" for c in plans.columns))
+    side = base.sized(plans.toDF(*names))
+    plan_ = dict(zip(plans.columns, map(F.col, names)))
+    joined = rows.join(side, base.quoted(source_col).eqNullSafe(plan_["source"]))
+    words = base.quoted(size)
+    repeats = plan_["whole"] + (base.quoted(key) < plan_["threshold"]).cast("long")
+    struct = F.struct(words.alias("size"), plan_["source_size"].alias("source_size"), plan_["target"].alias("target"), repeats.alias("repeats"), (words * repeats).alias("taken"))
+    return joined.select(*(base.quoted(c) for c in rows.columns if c not in (size, key)), struct.alias(into))
 
 
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: tuple = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", into: str = "mix") -> DataFrame:
     """docs with a struct named by ``into``; only size and key of a document are shuffled or stored for the plan, not its text."""
-    rows = measured(docs, id_col, text_col, seed)
-    meta = base.checkpoint(rows.select(F.col(source_col).alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")))
-    return apply(rows, source_col, plan(meta, weights, max_epochs), into)
+    size, key = base.unused([*docs.columns, into], "__size", "__key")
+    rows = measured(docs, id_col, text_col, seed, size, key)
+    meta = base.checkpoint(rows.select(base.quoted(source_col).alias("source"), F.col(size).alias("size"), F.col(key).alias("key")))
+    return apply(rows, source_col, plan(meta, weights, max_epochs), into, size, key)
 
 
 def repeated(mixed: DataFrame, into: str = "mix") -> DataFrame:
     """The mix itself: a row for each repetition, without the struct."""
-    repeats = F.col(f"{into}.repeats")
-    kept = mixed.filter(repeats > 0).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), repeats)))
-    return kept.drop(into, "__n")
+    repeats, (n,) = F.col(f"{into}.repeats"), base.unused(mixed.columns, "__n")
+    kept = mixed.filter(repeats > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), repeats)))
+    return kept.drop(into, n)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
