@@ -1,37 +1,40 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is cut by document: a shard holds the words of some documents as sorted postings (term, positions) of the
-terms that the benchmark uses, and is stored in the shared folder.  A query takes the windows of the benchmark
+The index is cut by document: a shard holds all words of some documents as postings (term, positions), sorted by a 64-bit hash of
+the term, and is stored once in the shared folder.  A query takes the windows of the benchmark
 items; in each shard a window's lists are intersected, shifted by their offsets, from its
-rarest term on, so most windows end with the first list or two.  Matches are exact phrases, or with ``slop`` phrases
-whose words are that near to their places.  Nothing is shuffled but the matches themselves.
+rarest term on, so most windows end with the first list or two.  Matches are exact phrases, or with ``slop`` such of
+proximity: some start t and rising positions of the window's words in one document, the k-th at most ``slop`` away from t + k.  Each start
+matches at the leftmost such positions; its span goes from the first to the last.  Nothing is shuffled but the matches themselves.
 
-The benchmark is the query set.  It is sent to the workers in blocks of BLOCK_CHARS characters, one pass each.
+The benchmark is the query set.  Items are cut into pieces of PIECE words that overlap by all but one word of a window, and sent to the
+workers in blocks of about BLOCK_CHARS characters; each block is a pass over the index, not over the documents.
 
-Defined results: a null text has no words; an item without words matches nothing; an item with a null id marks words but is not listed; repeated
-documents have equal results each; repeated item ids count once; empty tables give no matches.  Only the named columns are read.
+Defined results: a null text has no words; an item without words matches nothing; an item with a null id marks words but is not listed; a very
+long document is a shard of its own, whole; repeated documents have equal results each; repeated item ids count once, repeated items are one;
+empty tables give no matches.  Ids of documents keep their type, item ids are strings.  Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import base, kernels
 
-#: Characters of benchmark text that are sent to the workers at once.
-BLOCK_CHARS = 1 << 25
+#: Characters of benchmark text that are sent to the workers at once, and words of a piece of an item.
+BLOCK_CHARS, PIECE = 1 << 23, 1 << 16
 #: Words after which a shard is closed.
 SHARD_WORDS = 1 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-INDEX = "docs array<long>, hashes array<long>, n_words array<long>, begins array<long>, terms binary, starts binary, places binary"
-MATCHES = "doc long, text_hash long, item string, spans array<long>"
+INDEX = "docs array<{0}>, hashes array<long>, n_words array<long>, begins array<long>, terms binary, starts binary, places binary"
+MATCHES = "doc {0}, text_hash long, item string, spans array<long>"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -39,81 +42,101 @@ def tokens(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-def _index(vocabulary, window: int):
-    """Shards of postings; between two documents lie ``window`` unused positions, so no window reaches over."""
+def hashes_of(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
-    def shard(docs, hashes, counts, ids):
-        begins = np.concatenate([[0], np.cumsum(np.array(counts[:-1], dtype=np.int64) + window)]) if counts else np.zeros(0, np.int64)
-        term = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        place = np.concatenate([np.arange(n, dtype=np.int64) + b for n, b in zip(counts, begins)]) if counts else np.zeros(0, np.int64)
-        known = term >= 0
-        term, place = term[known], place[known].astype(np.int32 if len(begins) and begins[-1] + counts[-1] < 2**31 else np.int64)
+
+def _index(gap: int):
+    """Shards of postings; between two documents lie ``gap`` unused positions, so no match reaches over."""
+
+    def shard(kind, docs, hashes, counts, known, ids):
+        begins = np.concatenate([[0], np.cumsum(np.array(counts[:-1], dtype=np.int64) + gap)]).astype(np.int64)
+        place = np.concatenate([np.arange(n, dtype=np.int64) + b for n, b in zip(counts, begins)])
+        keys = hashes_of(known)
+        terms, rank = np.unique(keys, return_inverse=True)
+        term = rank.astype(np.int32)[np.concatenate(ids)]
         order = np.argsort(term, kind="stable")
-        terms, starts = np.unique(term[order], return_index=True)
-        binary = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (terms.astype(np.int32), starts.astype(np.int64), place[order].astype(np.int64) if place.dtype == np.int64 else place[order])]
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in (docs, hashes, counts, begins.tolist())]
+        starts = np.searchsorted(term[order], np.arange(len(terms))).astype(np.int64)
+        short = begins[-1] + counts[-1] < 2**31
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (terms, starts, place[order].astype(np.int32 if short else np.int64))]
+        lists = [pa.array([x], pa.list_(t)) for x, t in ((docs, kind), (hashes, pa.int64()), (counts, pa.int64()), (begins.tolist(), pa.int64()))]
         return pa.RecordBatch.from_arrays([*lists, *binary], names=[c.split()[0] for c in INDEX.split(", ")])
 
     def run(batches):
-        get = vocabulary.value.get
-        docs, hashes, counts, ids, size = [], [], [], [], 0
+        kind, docs, hashes, counts, known, ids, size = None, [], [], [], {}, [], 0
         for whole in batches:
-            for batch in kernels.slices(whole):
-                docs += batch.column(0).to_pylist()
-                hashes += batch.column(1).to_pylist()
-                for text in kernels.texts(batch.column(2)):
+            kind = whole.column(0).type
+            for batch in kernels.slices(whole, 128):
+                for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), kernels.texts(batch.column(2))):
                     words = tokens(text)
-                    ids.append(np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words)))
+                    for w in set(words):
+                        known.setdefault(w, len(known))
+                    ids.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+                    docs.append(doc)
+                    hashes.append(text_hash)
                     counts.append(len(words))
                     size += len(words)
-                if size >= SHARD_WORDS:
-                    yield shard(docs, hashes, counts, ids)
-                    docs, hashes, counts, ids, size = [], [], [], [], 0
+                    if size >= SHARD_WORDS:
+                        yield shard(kind, docs, hashes, counts, known, ids)
+                        docs, hashes, counts, known, ids, size = [], [], [], {}, [], 0
         if docs:
-            yield shard(docs, hashes, counts, ids)
+            yield shard(kind, docs, hashes, counts, known, ids)
 
     return run
 
 
-def intersect(lists: list[np.ndarray], order, slop: int = 0) -> np.ndarray:
-    """Starts of windows whose k-th word is in lists[k] at start + k (within slop); order: from the rarest on."""
-    first, *rest = order
-    starts = lists[first].astype(np.int64) - first
+def intersect(lists: list[np.ndarray], order, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) positions of the matches of a window whose k-th word is at the positions lists[k], one for each start; order: from
+    the rarest list on."""
+    rarest, *rest = order
+    starts = lists[rarest].astype(np.int64) - rarest
+    if slop:
+        starts = np.unique((starts[:, None] + np.arange(-slop, slop + 1)).ravel())
     for k in rest:
-        at = np.minimum(np.searchsorted(lists[k], starts + k - slop), len(lists[k]) - 1)
-        starts = starts[np.abs(lists[k][at] - starts - k) <= slop]
+        at = np.searchsorted(lists[k], starts + k - slop)
+        there = lists[k][np.minimum(at, len(lists[k]) - 1)]
+        starts = starts[(at < len(lists[k])) & (there <= starts + k + slop)]
         if not len(starts):
             break
-    return starts
+    if not slop or not len(starts):
+        return starts, starts + len(lists)
+    first, last = None, np.full(len(starts), np.iinfo(np.int64).min)
+    for k, places in enumerate(lists):
+        at = np.searchsorted(places, np.maximum(starts + k - slop, last + 1))
+        last = places[np.minimum(at, len(places) - 1)].astype(np.int64)
+        good = (at < len(places)) & (last <= starts + k + slop)
+        starts, last, first = starts[good], last[good], last[good] if first is None else first[good]
+    return first, last + 1
 
 
 def _search(query, slop: int):
     def run(batches):
-        n_terms, items, groups = query.value
+        vocabulary, items, groups = query.value
         for batch in batches:
             for row in range(batch.num_rows):
                 docs, hashes, counts, begins = (batch.column(k)[row].values for k in range(4))
-                terms, starts = np.frombuffer(batch.column(4)[row].as_py(), np.int32), np.frombuffer(batch.column(5)[row].as_py(), np.int64)
+                terms, starts = np.frombuffer(batch.column(4)[row].as_py(), np.uint64), np.frombuffer(batch.column(5)[row].as_py(), np.int64)
                 begins = begins.to_numpy()
-                raw = batch.column(6)[row].as_py()
-                short = not len(begins) or begins[-1] + counts[-1].as_py() < 2**31
-                places = np.frombuffer(raw, np.int32 if short else np.int64)
+                short = begins[-1] + counts[-1].as_py() < 2**31
+                places = np.frombuffer(batch.column(6)[row].as_py(), np.int32 if short else np.int64)
+                if not len(terms):
+                    continue
                 ends = np.append(starts[1:], len(places))
-                first, count = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
-                first[terms], count[terms] = starts, ends - starts
+                at = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
+                seen = terms[at] == vocabulary
+                first, count = np.where(seen, starts[at], 0), np.where(seen, ends[at] - starts[at], 0)
                 found = []
                 for windows, owner in groups:
                     sizes = count[windows]
                     live = np.flatnonzero(sizes.min(axis=1) > 0)
                     for w, order in zip(live.tolist(), np.argsort(sizes[live], axis=1, kind="stable").tolist()):
-                        at = intersect([places[first[t] : first[t] + count[t]] for t in windows[w]], order, slop)
-                        if len(at):
-                            found.append((np.full(len(at), owner[w]), at, np.full(len(at), windows.shape[1])))
+                        lo, hi = intersect([places[first[t] : first[t] + count[t]] for t in windows[w]], order, slop)
+                        if len(lo):
+                            found.append((np.full(len(lo), owner[w]), lo, hi))
                 if found:
-                    owner, at, width = (np.concatenate(x) for x in zip(*found))
-                    doc = np.searchsorted(begins, np.maximum(at, 0), "right") - 1
-                    lo = np.maximum(0, at - begins[doc])
-                    yield _spans(items, docs, hashes, doc, owner, lo, lo + width)
+                    owner, lo, hi = (np.concatenate(x) for x in zip(*found))
+                    doc = np.searchsorted(begins, lo, "right") - 1
+                    yield _spans(items, docs, hashes, doc, owner, lo - begins[doc], hi - begins[doc])
 
     return run
 
@@ -123,7 +146,9 @@ def _spans(items, docs, hashes, doc, owner, lo, hi) -> pa.RecordBatch:
     order = np.lexsort((lo, owner, doc))
     doc, owner, lo, hi = doc[order], owner[order], lo[order], hi[order]
     group = np.concatenate([[True], (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])])
-    # Windows of one item are equally long, so ends are in order too.
+    # The largest end so far within a group: groups are told apart by more than any end.
+    shift = (np.cumsum(group) - 1) * (int(hi.max()) + 1)
+    hi = np.maximum.accumulate(hi + shift) - shift
     span = group | np.concatenate([[True], lo[1:] > hi[:-1]])
     begins, ends = lo[span], hi[np.append(np.flatnonzero(span)[1:] - 1, len(hi) - 1)]
     flat = np.stack([begins, ends], axis=1).ravel()
@@ -132,36 +157,58 @@ def _spans(items, docs, hashes, doc, owner, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([docs.take(at), hashes.take(at), pa.array([items[i] for i in owner[group]], pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], names=["doc", "text_hash", "item", "spans"])
 
 
-def query_windows(items: list[tuple], window: int) -> tuple[dict, tuple]:
-    """The vocabulary of some (id, text), and (number of terms, ids, [(windows as rows of terms, their items)] by length)."""
+def _pieces(window: int):
+    """(item, text, chars): the words of items in pieces; neighbours share window - 1 words, so each window is in one piece at least."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in kernels.slices(whole, 64):
+                items, parts = [], []
+                for item, text in zip(batch.column(0).to_pylist(), kernels.texts(batch.column(1))):
+                    words = tokens(text)
+                    for lo in range(0, max(1, len(words) - window + 1) if words else 0, PIECE):
+                        items.append(item)
+                        parts.append(b" ".join(words[lo : lo + PIECE + window - 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(parts, pa.binary()), pa.array(list(map(len, parts)), pa.int64())], names=["item", "words", "chars"])
+
+    return run
+
+
+def query_windows(items: list[tuple], window: int) -> tuple[np.ndarray, list, list]:
+    """Of some (id, words joined by spaces): the hashes of the terms, the ids, and [(windows as rows of terms, their items)] by length."""
     vocabulary: dict[bytes, int] = {}
     by_width: dict[int, list] = {}
     for i, (_, text) in enumerate(items):
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens((text or "").encode())], dtype=np.int32)
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in bytes(text).split()], dtype=np.int32)
         if len(ids):
             rows = np.unique(sliding_window_view(ids, min(window, len(ids))), axis=0)
             by_width.setdefault(rows.shape[1], []).append((rows, np.full(len(rows), i)))
     groups = [(np.concatenate([r for r, _ in x]), np.concatenate([o for _, o in x])) for x in by_width.values()]
-    return vocabulary, (len(vocabulary), [k for k, _ in items], groups)
+    return hashes_of(vocabulary), [k for k, _ in items], groups
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 10) -> DataFrame:
+    """The stored index of all documents; ``gap``: unused positions between two, at least 2 * slop + 1 of the queries to come."""
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
+    rows = docs.select(base.quoted(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return base.checkpoint(rows.mapInArrow(_index(gap), INDEX.format(base.kind(docs, id_col))))
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, matches): (doc, text_hash, n_words) of every row, and MATCHES of rows with windows of ``window`` words of an
     item (all its words, if fewer).  text_hash is xxhash64 of the text, a null one as empty."""
-    sc = docs.sparkSession.sparkContext
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    blocks = -(-(items.select(F.sum(F.length("text"))).first()[0] or 1) // BLOCK_CHARS)
-    documents = matches = None
+    sc, kind = docs.sparkSession.sparkContext, base.kind(docs, id_col)
+    shards = index(docs, id_col, text_col, window + 2 * slop)
+    documents = shards.select(F.explode(F.arrays_zip("docs", "hashes", "n_words")).alias("d")).select(F.col("d.docs").alias("doc"), F.col("d.hashes").alias("text_hash"), F.col("d.n_words").alias("n_words"))
+    pieces = items.select(base.quoted(item_col).cast("string").alias("item"), base.quoted(item_text_col).alias("text")).mapInArrow(_pieces(window), "item string, words binary, chars long")
+    pieces = base.checkpoint(pieces.distinct())
+    blocks = max(1, -(-(pieces.select(F.sum("chars")).first()[0] or 0) // BLOCK_CHARS))
+    matches = None
     for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        vocabulary, query = query_windows([tuple(r) for r in part.collect()], window)
-        index = base.checkpoint(rows.mapInArrow(_index(sc.broadcast(vocabulary), window + slop), INDEX))
-        found = index.mapInArrow(_search(sc.broadcast(query), slop), MATCHES)
+        # About BLOCK_CHARS characters.
+        part = pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).select("item", "words").orderBy("item", "words")
+        found = shards.mapInArrow(_search(sc.broadcast(query_windows([tuple(r) for r in part.collect()], window)), slop), MATCHES.format(kind))
         matches = found if matches is None else matches.unionByName(found)
-        if documents is None:
-            documents = index.select(F.explode(F.arrays_zip("docs", "hashes", "n_words")).alias("d")).select(F.col("d.docs").alias("doc"), F.col("d.hashes").alias("text_hash"), F.col("d.n_words").alias("n_words"))
     return documents, matches
 
 
@@ -183,8 +230,9 @@ def per_document(matches: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a window of an item."""
-    bad = base.sized(search(docs, items, id_col, text_col)[1].select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).distinct())
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
+    doc, text_hash = base.unused(docs.columns, "__doc", "__hash")
+    bad = base.sized(search(docs, items, id_col, text_col)[1].select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash)).distinct())
+    same = base.quoted(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(base.quoted(text_col), F.lit(""))) == F.col(text_hash))
     return docs.join(bad, same, "left_anti")
 
 
