@@ -1,16 +1,17 @@
 """A quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
 Each word has a sparse index vector of +1 and -1 that follows from its hash.  A word's vector is the sum of the index
-vectors of its neighbours in the training texts; the same is done for word shapes (runs of letter classes, digits and
-marks), which also cover words that training didn't see.  A document is the mean of its word vectors and of its
+vectors of its neighbours in the sample's texts, for all words seen MIN_COUNT times there; the same is done for word shapes (runs of
+letter classes, digits and marks), which also cover other words.  A document is the mean of its word vectors and of its
 shape vectors, with their norms, its length, and its shares of distinct words, of unknown ones and of words equal to the one before.  A
 numpy network with one hidden layer scores it; a temperature fitted on rows set aside calibrates the probability.
 
-The model is fitted on the driver on a bounded sample of labelled rows (MAX_ROWS and MAX_CHARS, in the order of a hash of the id).
-Scoring reads every whole text.
+The model is fitted on the driver on a bounded sample of labelled rows: about MAX_ROWS rows and MAX_CHARS characters, by a share of the
+values of a hash of id and text, of texts of at most LONGEST characters.  Scoring reads every whole text, however long.
 
 Defined results: a null or empty text has only zero features and a score as any other; labels that are null are ignored, several labels of
-an id count as their smallest; without any label each score is 0.5; an empty table gives an empty result.
+an id count as their smallest; rows that repeat an id and a text are in the sample once; without any label, or with too long texts only, each
+score is 0.5; an empty table gives an empty result.  Only the named columns are read, and the score's column has the name that ``into`` says.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import base, kernels
@@ -32,7 +33,8 @@ from gneiss.llm import base, kernels
 MAX_ROWS, MAX_CHARS = 4000, 1 << 24
 #: Characters of a text that is too long for the fitting sample by itself.
 LONGEST = 1 << 20
-DIM, NONZERO, VOCABULARY, SHAPES, SPAN = 64, 8, 20_000, 2_000, 2
+#: A word needs MIN_COUNT occurrences in the sample for a vector of its own; below, it is as unknown as words that come later.
+DIM, NONZERO, MIN_COUNT, SPAN = 64, 8, 3, 2
 HIDDEN, EPOCHS, CHUNK = 32, 60, 1 << 16
 
 _CLASSES = [(re.compile(r"[^\W\d_a-z]+"), lambda m: "A" if m[0].isupper() else "a"), (re.compile(r"[a-z]+"), "a"), (re.compile(r"a+"), "a"), (re.compile(r"\d+"), "0")]
@@ -42,33 +44,32 @@ def shape(word: bytes) -> str:
     out = word.decode("utf-8", "replace")
     for pattern, by in _CLASSES:
         out = pattern.sub(by, out)
-    return out[:12]
+    return out
 
 
-def index_vector(term: bytes) -> np.ndarray:
-    rng = np.random.default_rng(xxhash.xxh64_intdigest(term))
-    v = np.zeros(DIM, dtype=np.float32)
-    v[rng.choice(DIM, NONZERO, replace=False)] = rng.choice(np.array([-1, 1], dtype=np.float32), NONZERO)
-    return v
+def index_vectors(terms: list[bytes]) -> np.ndarray:
+    """A row for each term: 7 bits of its hash give a place and a sign, NONZERO times."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, terms), dtype=np.uint64, count=len(terms))
+    out, rows = np.zeros((len(terms), DIM), dtype=np.float32), np.arange(len(terms))
+    for k in range(NONZERO):
+        bits = (h >> np.uint64(7 * k)).astype(np.int64)
+        out[rows, bits & (DIM - 1)] += 1 - 2 * (bits >> 6 & 1)
+    return out
 
 
-def context_vectors(texts: list[list], known: dict, extra: int) -> np.ndarray:
-    """A unit vector for each known term from the index vectors of its neighbours up to SPAN away; ``extra`` last rows for
-    unknown terms (zero)."""
-    terms = list(known)
-    basis = np.stack([index_vector(t if isinstance(t, bytes) else t.encode()) for t in terms]) if terms else np.zeros((0, DIM), np.float32)
-    basis = np.vstack([basis, np.zeros((1, DIM), np.float32)])
-    out = np.zeros((len(terms) + extra, DIM), dtype=np.float32)
-    for words in texts:
-        ids = np.array([known.get(w, len(terms)) for w in words], dtype=np.int64)
+def context_vectors(texts: list[np.ndarray], terms: list[bytes]) -> np.ndarray:
+    """A unit vector for each term from the index vectors of its neighbours up to SPAN away, and a last row of zeros for unknown ones;
+    texts: places of terms, unknown ones last."""
+    basis = np.vstack([index_vectors(terms), np.zeros((1, DIM), np.float32)])
+    out = np.zeros((len(terms) + 1, DIM), dtype=np.float32)
+    for ids in texts:
         for gap in range(1, SPAN + 1):
             if len(ids) > gap:
                 for at, near in ((ids[:-gap], ids[gap:]), (ids[gap:], ids[:-gap])):
                     order = np.argsort(at, kind="stable")
                     starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-                    kind, sums = at[order[starts]], np.add.reduceat(basis[near[order]], starts, axis=0)
-                    seen = kind < len(terms)
-                    out[kind[seen]] += sums[seen]
+                    out[at[order[starts]]] += np.add.reduceat(basis[near[order]], starts, axis=0)
+    out[-1] = 0
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
@@ -144,40 +145,55 @@ class Network:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column) -> list[tuple[bytes, int]]:
-    """(text, label) of at most MAX_ROWS labelled rows and MAX_CHARS characters, the first in the order of a hash of the id;
-    only texts of over LONGEST characters are passed over."""
-    named = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).filter(F.col("__id").isNotNull() & F.col("__label").isNotNull()).groupBy("__id").agg(F.min("__label").alias("__label"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    there = docs.filter(usable).select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), F.length(text).alias("n"))
-    order = [F.xxhash64("__id"), F.col("__id"), F.col("__hash")]
-    labelled = there.join(named, "__id").distinct()
-    first = labelled.filter(F.col("n") <= LONGEST).orderBy(*order).limit(MAX_ROWS)
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = first.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= MAX_CHARS).select("__id", "__hash", "__label")
-    # MAX_ROWS ids at most.
-    texts = docs.filter(usable).select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("text")).join(F.broadcast(base.checkpoint(rows)), ["__id", "__hash"])
-    once = texts.groupBy("__id", "__hash", "__label").agg(F.first("text").alias("text"))
-    return sorted((r["__id"], r["text"].encode(), int(r["__label"])) for r in once.collect())
+    """(id, text, label) of about MAX_ROWS labelled rows and MAX_CHARS characters, all if there are fewer: those whose hash of id and text
+    is low enough.  Only texts of over LONGEST characters are passed over."""
+    label = base.quoted(label_col)
+    named = labels.select(base.quoted(id_col).alias("id"), label.alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
+    rows = docs.filter(usable).select(base.quoted(id_col).alias("id"), text.alias("text"), F.xxhash64(base.quoted(id_col), text).alias("hash"), F.length(text).alias("n")).filter(F.col("n") <= LONGEST)
+    labelled = base.checkpoint(rows.select("id", "hash", "n").join(named, "id").distinct())
+    n, chars = labelled.select(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = min(1.0, MAX_ROWS / max(1, n), MAX_CHARS / max(1, chars))
+    # About MAX_ROWS rows.
+    taken = base.checkpoint(labelled.filter(F.shiftrightunsigned("hash", 1) < int((1 << 63) * share)) if share < 1 else labelled)
+    texts = rows.join(F.broadcast(taken.select("id", "hash", "label")), ["id", "hash"])
+    once = texts.groupBy("id", "hash", "label").agg(F.min("text").alias("text"))
+    return sorted((r["id"], r["text"].encode(), int(r["label"])) for r in once.collect())
 
 
 def fit(rows: list[tuple]) -> tuple[Features, Network] | None:
     if not rows:
         return None
-    texts = [t.split() for _, t, _ in rows]
-    words = {w: i for i, (w, _) in enumerate(sorted(Counter(w for t in texts for w in t).items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
-    shape_of = {w: shape(w) for w in {w for t in texts for w in t}}
-    shapes = {w: i for i, (w, _) in enumerate(sorted(Counter(shape_of[w] for t in texts for w in t).items(), key=lambda x: (-x[1], x[0]))[:SHAPES])}
-    features = Features(words, context_vectors(texts, words, 1), shapes, context_vectors([[shape_of[w] for w in t] for t in texts], shapes, 1))
+    known: dict[bytes, int] = {}
+    texts = []
+    for _, t, _ in rows:
+        words = t.split()
+        for w in words:
+            known.setdefault(w, len(known))
+        texts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+
+    def frequent(names: list, times: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Places of the terms seen often enough, and the place of each name."""
+        kept = {x: i for i, x in enumerate(sorted(x for x, n in zip(names, times.tolist()) if n >= MIN_COUNT))}
+        return kept, np.array([kept.get(x, len(kept)) for x in names], dtype=np.int32)
+
+    times = np.bincount(np.concatenate(texts), minlength=len(known))
+    words, word_at = frequent(list(known), times)
+    kinds: dict[str, int] = {}
+    shape_of = np.array([kinds.setdefault(shape(w), len(kinds)) for w in known], dtype=np.int32)
+    del known
+    shapes, shape_at = frequent(list(kinds), np.bincount(shape_of, weights=times, minlength=len(kinds)))
+    shape_at = shape_at[shape_of]
+    vectors = context_vectors([word_at[ids] for ids in texts], list(words)), context_vectors([shape_at[ids] for ids in texts], [x.encode() for x in shapes])
     # A shape is also its own neighbour, so that rare ones stay apart.
-    own = np.stack([index_vector(s.encode()) for s in shapes] + [np.zeros(DIM, np.float32)]) / np.sqrt(NONZERO) if shapes else features.shape_vectors
-    features.shape_vectors = (features.shape_vectors + own).astype(np.float32)
-    cache: dict = {}
-    x = np.stack([features.row(t, cache) for t in texts])
+    own = np.vstack([index_vectors([x.encode() for x in shapes]), np.zeros((1, DIM), np.float32)]) / np.sqrt(NONZERO)
+    features, cache = Features(words, vectors[0], shapes, (vectors[1] + own).astype(np.float32)), {}
+    x = np.stack([features.row(t.split(), cache) for _, t, _ in rows])
     return features, Network().fit(x.astype(np.float64), np.array([y for *_, y in rows], dtype=np.float64))
 
 
-def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """docs with __score, the probability of label 1."""
+def scored(docs: DataFrame, model, text_col: str = "text", into: str = "__score") -> DataFrame:
+    """docs with the probability of label 1 in the column ``into``."""
     # Plain values: broadcasts are unpickled without this package.
     shared = docs.sparkSession.sparkContext.broadcast(model and tuple({k: v for k, v in vars(x).items() if k != "rng"} for x in model))
 
@@ -193,7 +209,7 @@ def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                 out.append(model[1].probability(rows.astype(np.float64)))
             yield pa.array(np.concatenate([np.zeros(0), *out]))
 
-    return docs.withColumn("__score", score(F.col(text_col)))
+    return docs.withColumn(into, score(base.quoted(text_col)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5):
