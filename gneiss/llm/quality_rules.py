@@ -2,10 +2,11 @@
 
 Each document is measured by expressions over its whole text.  Rules turn the measures into
 failures, which are counted by host; the failure rate of a host is shrunk by a beta prior fitted to all
-hosts (method of moments), so a host with few documents is judged mostly as the average host.  Hosts above
+hosts (moments of the beta-binomial, hosts weighted by their documents), so a host with few documents is judged mostly as the average host.  Hosts above
 ``max_rate`` are rejected, and the verdict is joined back to the documents.
 
-Defined results: a null or empty text has no words, and so fails the base; a null host is a host of its own;
+Defined results: a null or empty text has no words, and so fails the base; a very long one is measured whole, by one task; a rate of just
+max_rate is kept; a null host is a host of its own;
 repeated rows are judged alike and each counts for its host; an empty table gives an empty result.  Measures and verdicts are in one struct, whose name is a parameter.
 """
 
@@ -73,13 +74,19 @@ def measures(text: Column) -> dict[str, Column]:
 def host_verdicts(judged: DataFrame, host: str, failed: Column, max_rate: float, min_strength: float = 1.0, max_strength: float = 1e6) -> DataFrame:
     """(host, rate, rejected): the failure rate of each host under a beta prior, and whether it is above max_rate.
 
-    The prior's mean is the rate over all documents.  Its strength (a + b) follows from the variance of the hosts' rates,
-    kept between the two strengths.
+    The prior's mean is the rate over all documents.  Its strength s = a + b follows from the weighted squares of the hosts' rates about it,
+    less what they have as binomial shares: with rho = 1 / (s + 1), their expectation is
+    mean * (1 - mean) * (hosts - 1 + rho * (N - sum(n^2) / N - hosts + 1)).  It is kept between the two strengths; hosts of which none
+    has two documents don't tell it, and have the largest.
     """
     hosts = base.checkpoint(judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("k")))
-    mean, var = hosts.select(F.sum("k") / F.sum("n"), F.var_pop(F.col("k") / F.col("n"))).first()
-    mean, var = mean or 0.0, var or 0.0
-    strength = min(max_strength, max(min_strength, mean * (1 - mean) / var - 1)) if var else max_strength
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    total, fails, count, squares, rates = hosts.select(*(F.coalesce(x, F.lit(0.0)) for x in (F.sum(n), F.sum(k), F.count(F.lit(1)).cast("double"), F.sum(n * n), F.sum(k * k / n)))).first()
+    mean, strength = fails / total if total else 0.0, max_strength
+    spare = total - squares / total - count + 1 if total else 0.0
+    if 0 < mean < 1 and spare > 0:
+        rho = ((rates - fails * mean) / (mean * (1 - mean)) - (count - 1)) / spare
+        strength = 1 / min(1 / (1 + min_strength), max(1 / (1 + max_strength), rho)) - 1
     rate = (F.col("k") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return hosts.select("host", rate.alias("rate"), (rate > max_rate).alias("rejected"))
 
@@ -130,9 +137,12 @@ WITH docs AS (
   FROM measured
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM judged GROUP BY source
+), sums AS (
+  SELECT sum(CAST(n AS DOUBLE)) AS t, sum(CAST(k AS DOUBLE)) AS f, CAST(count(*) AS DOUBLE) AS h, sum(CAST(n AS DOUBLE) * n) AS q, sum(CAST(k AS DOUBLE) * k / n) AS r FROM hosts
 ), prior AS (
-  SELECT m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS s
-  FROM (SELECT sum(k) / sum(n) AS m, var_pop(k / n) AS v FROM hosts)
+  SELECT f / t AS m, CASE WHEN f > 0 AND f < t AND t - q / t - h + 1 > 0
+    THEN 1 / least(0.5, greatest(1 / (1 + 1e6), ((r - f * (f / t)) / (f / t * (1 - f / t)) - (h - 1)) / (t - q / t - h + 1))) - 1 ELSE 1e6 END AS s
+  FROM sums
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (k + m * s) / (n + s) <= 0.5 AS kept
