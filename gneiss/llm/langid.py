@@ -2,16 +2,20 @@
 
 A model has the character trigrams of each language.  Letters are lower-cased and everything else is one space.  N-grams are packed into
 64 bits without collisions, mixed by a bijective hash, and kept as sorted arrays with the log
-probabilities of each language beside them; a whole text is scored by binary search.  The language with the lowest
+probabilities beside them; a whole text is scored by binary search.  Languages are put into blocks of BLOCK, each with arrays of
+its own, so that the model grows with the languages' n-grams and not with languages times all n-grams.  The language with the lowest
 cross-entropy per character wins.  The score is its share of the posterior, sharpened by a
 temperature fitted on training rows that the counts don't hold; a text whose cross-entropy is above what 99.9 % of these rows
 have is marked as rejected.
 
-The model is fitted on a bounded sample of labelled rows (about MAX_DOCS per language, by a hash of id and text); n-grams are
-counted on the executors over whole texts.
+The model is fitted on a bounded sample of the distinct labelled texts of at most LONGEST characters: about MAX_DOCS for each language,
+and MAX_CHARS characters for all, shared evenly between the languages, by a share of a hash's values; each language has its first text by
+the hash at least, so all are learned.  N-grams are counted on the executors over whole texts.
 
-Defined results: a null text, or one without letters, is ``und`` with score 0; rows with a null language aren't learned from; without any
-language to learn all texts are ``und``; an empty table gives an empty result.
+Defined results: a null text, or one without letters, is ``und`` with score 0; of languages with equal cross-entropy the first by name wins;
+a very long text is scored whole, in pieces of CHUNK characters that overlap; texts that repeat in a language are learned once; rows
+with a null language or text aren't learned from; without any language to learn all texts are ``und``; an empty table gives an empty result.
+Only the named columns are read, and the result's struct has the name that ``into`` says.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import base, kernels
 
-MAX_DOCS, MAX_LANGUAGES, CALIBRATION_DOCS = 2000, 256, 200
-DISCOUNT = 0.75
+#: Texts of a language to learn from, of these to calibrate with at most, characters of all languages, and of a text.
+MAX_DOCS, CALIBRATION_DOCS, MAX_CHARS, LONGEST = 2000, 200, 1 << 25, 1 << 20
+#: Languages that share arrays, and the discount where counts don't give one.
+BLOCK, DISCOUNT = 8, 0.75
 #: Characters of a text that are scored at once.
 CHUNK = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -82,18 +88,32 @@ def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, np.bincount(where, weights=n, minlength=len(kinds))
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT) -> dict:
-    """counts: trigram hashes and counts of each language.  Arrays of the model by order.
+def discount_of(n: np.ndarray) -> float:
+    """n1 / (n1 + 2 * n2) for the numbers of n-grams seen once and twice; DISCOUNT if one of them is 0."""
+    n1, n2 = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
+    return n1 / (n1 + 2 * n2) if n1 and n2 else DISCOUNT
 
-    p3(c|ab) = max(n(abc) - d, 0) / n(ab) + d * kinds(ab) / n(ab) * p2(c|b); p2 and p1 are the same over numbers of distinct
-    left neighbours, and p0 is uniform over the characters of all languages.
+
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
+    """counts: trigram hashes and counts of each language.  The model: blocks of languages, and what calibrate() adds.
+
+    p3(c|ab) = max(n(abc) - d3, 0) / n(ab) + d3 * kinds(ab) / n(ab) * p2(c|b); p2 and p1 are the same over numbers of distinct
+    left neighbours, and p0 is uniform over the characters of all languages and one for all others.
     """
     langs = sorted(counts)
+    alphabet = len(np.unique(np.concatenate([unpack(counts[x][0], 3)[:, 2] for x in langs]))) + 1
+    blocks = [_block({x: counts[x] for x in langs[k : k + BLOCK]}, alphabet) for k in range(0, len(langs), BLOCK)]
+    return {"langs": langs, "blocks": blocks, "temperature": 1.0, "limits": None}
+
+
+def _block(counts: dict, alphabet: int) -> dict:
+    """Arrays by order: n-grams of all languages of the block, with a row of values for each, a column per language."""
+    langs = list(counts)
     trigrams = np.unique(np.concatenate([counts[x][0] for x in langs]))
     grams3 = unpack(trigrams, 3)
     bigrams = np.unique(np.concatenate([pack_rows(grams3[:, 1:]), pack_rows(grams3[:, :2])]))
     chars = np.unique(grams3)
-    alphabet, p1s, bow2s, p2s, bow3s, p3s = len(chars) + 1, [], [], [], [], []
+    unseen, p1s, bow2s, p2s, bow3s, p3s = [], [], [], [], [], []
     one = Levels(chars, None)
     two = Levels(bigrams, None)
     grams2 = unpack(bigrams, 2)
@@ -104,23 +124,25 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], discount: float
         k2, n2 = _tally(pack_rows(rows[:, 1:]), np.ones(len(rows)))
         r2 = unpack(k2, 2)
         k1, n1 = _tally(r2[:, 1], np.ones(len(r2)))
-        p1 = np.full(len(chars), discount * len(k1) / n1.sum() / alphabet)
-        p1[one.find(k1)[0]] += np.maximum(n1 - discount, 0) / n1.sum()
+        d1, d2, d3 = discount_of(n1), discount_of(n2), discount_of(n)
+        floor = d1 * len(k1) / n1.sum() / alphabet
+        p1 = np.full(len(chars), floor)
+        p1[one.find(k1)[0]] += np.maximum(n1 - d1, 0) / n1.sum()
         total2, kinds2 = np.zeros(len(chars)), np.zeros(len(chars))
         np.add.at(total2, one.find(r2[:, 0])[0], n2)
         np.add.at(kinds2, one.find(r2[:, 0])[0], 1)
-        bow2 = np.where(total2 > 0, discount * kinds2 / np.maximum(total2, 1), 1)
+        bow2 = np.where(total2 > 0, d2 * kinds2 / np.maximum(total2, 1), 1)
         p2 = bow2[one.find(grams2[:, 0])[0]] * p1[one.find(grams2[:, 1])[0]]
-        p2[two.find(k2)[0]] += np.maximum(n2 - discount, 0) / total2[one.find(r2[:, 0])[0]]
+        p2[two.find(k2)[0]] += np.maximum(n2 - d2, 0) / total2[one.find(r2[:, 0])[0]]
         context = two.find(pack_rows(rows[:, :2]))[0]
         total3, kinds3 = np.bincount(context, weights=n, minlength=len(bigrams)), np.bincount(context, minlength=len(bigrams))
-        bow3 = np.where(total3 > 0, discount * kinds3 / np.maximum(total3, 1), 1)
+        bow3 = np.where(total3 > 0, d3 * kinds3 / np.maximum(total3, 1), 1)
         p3 = bow3[two.find(pack_rows(grams3[:, :2]))[0]] * p2[two.find(pack_rows(grams3[:, 1:]))[0]]
-        p3[np.searchsorted(trigrams, keys)] += np.maximum(n - discount, 0) / total3[context]
-        for to, x in ((p1s, p1), (bow2s, bow2), (p2s, p2), (bow3s, bow3), (p3s, p3)):
+        p3[np.searchsorted(trigrams, keys)] += np.maximum(n - d3, 0) / total3[context]
+        for to, x in ((unseen, floor), (p1s, p1), (bow2s, bow2), (p2s, p2), (bow3s, bow3), (p3s, p3)):
             to.append(np.log(x))
-    col = lambda x: np.stack(x, axis=1).astype(np.float32)
-    return {"langs": langs, "chars": chars, "p1": col(p1s), "bow2": col(bow2s), "bigrams": bigrams, "p2": col(p2s), "bow3": col(bow3s), "trigrams": trigrams, "p3": col(p3s), "unseen": float(np.log(1 / alphabet)), "temperature": 1.0, "limits": None}
+    col = lambda x: np.stack(x, axis=1)
+    return {"chars": chars, "unseen": np.array(unseen), "p1": col(p1s), "bow2": col(bow2s), "bigrams": bigrams, "p2": col(p2s), "bow3": col(bow3s), "trigrams": trigrams, "p3": col(p3s)}
 
 
 def pack_rows(rows: np.ndarray) -> np.ndarray:
@@ -131,10 +153,10 @@ def pack_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def _back_off(model: dict, c: np.ndarray) -> np.ndarray:
-    """Log probabilities of the last characters of trigrams (rows of c) that no language has."""
+    """Log probabilities of the last characters of trigrams (rows of c) that no language of a block has."""
     one, two = Levels(model["chars"], None), Levels(model["bigrams"], None)
     at, seen = one.find(c[:, 2])
-    p = np.where(seen[:, None], model["p1"][at], model["unseen"] + model["p1"].min(axis=0))
+    p = np.where(seen[:, None], model["p1"][at], model["unseen"])
     at, seen = one.find(c[:, 1])
     p = p + np.where(seen[:, None], model["bow2"][at], 0)
     at, seen = two.find(pack_rows(c[:, 1:]))
@@ -146,18 +168,20 @@ def _back_off(model: dict, c: np.ndarray) -> np.ndarray:
 def entropies(model: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per character (nats) of each text in each language, and the number of its letters and spaces."""
     sums, sizes = np.zeros((len(texts), len(model["langs"]))), np.zeros(len(texts), dtype=np.int64)
-    three = Levels(model["trigrams"], None)
     for i, text in enumerate(texts):
         c = codes(text.decode("utf-8", "replace"))
         if not (c != 32).any():
             continue
         for lo in range(0, max(1, len(c) - 2), CHUNK):
             part = c[lo : lo + CHUNK + 2]
-            at, seen = three.find(pack(part, 3))
-            sums[i] += model["p3"][at[seen]].sum(axis=0, dtype=np.float64)
-            if not seen.all():
-                miss = np.flatnonzero(~seen)
-                sums[i] += _back_off(model, np.stack([part[miss], part[miss + 1], part[miss + 2]], axis=1)).sum(axis=0, dtype=np.float64)
+            keys = pack(part, 3)
+            for k, block in enumerate(model["blocks"]):
+                at, seen = Levels(block["trigrams"], None).find(keys)
+                all_ = block["p3"][at[seen]].sum(axis=0)
+                if not seen.all():
+                    miss = np.flatnonzero(~seen)
+                    all_ += _back_off(block, np.stack([part[miss], part[miss + 1], part[miss + 2]], axis=1)).sum(axis=0)
+                sums[i, k * BLOCK : k * BLOCK + len(all_)] += all_
         sizes[i] = len(c) - 2
     return -sums / np.maximum(sizes, 1)[:, None], sizes
 
@@ -194,31 +218,36 @@ def _counts(rows: DataFrame) -> dict:
     return {x: (g["key"].to_numpy().view(np.uint64), g["n"].to_numpy(dtype=np.float64)) for x, g in counted.sort_values(["lang", "key"]).groupby("lang")}
 
 
-def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
-    """A model of at most MAX_LANGUAGES languages, the most frequent ones, from usable rows with a language and a text."""
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return None
-    parts = F.create_map(*(F.lit(v) for x, n in sizes.items() for v in (x, int((1 << 20) * min(1.0, MAX_DOCS / n)))))
-    chosen = rows.filter(F.col("h") < F.coalesce(F.try_element_at(parts, F.col("lang")), F.lit(0)))
-    # The last tenth of the sample, of CALIBRATION_DOCS rows per language at most, is for calibration.
-    last = F.col("h") >= 0.9 * F.try_element_at(parts, F.col("lang"))
-    # A language without other rows has them all counted.
-    counted = [r["lang"] for r in chosen.filter(~last).select("lang").distinct().collect()]
-    last = last & F.col("lang").isin(counted)
-    counts = _counts(chosen.filter(~last))
+def sampled(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text, h, held) of the texts to learn from, computed once; held: whether one is for calibration.  h is a hash in 63 bits."""
+    text = base.quoted(text_col)
+    rows = docs.filter(usable & base.quoted(lang_col).isNotNull() & text.isNotNull()).select(base.quoted(lang_col).alias("lang"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("h")).filter(F.length("text") <= LONGEST)
+    sizes = base.checkpoint(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.avg(F.length("text")).alias("chars"), F.min("h").alias("least")))
+    langs = max(1, sizes.count())
+    whole = F.lit(float(1 << 63))
+    each = MAX_CHARS / langs / F.greatest(F.lit(1.0), F.col("n") * F.col("chars"))
+    share = F.least(F.lit(1.0), MAX_DOCS / F.col("n"), each)
+    limits = sizes.select(F.col("lang").alias("of"), "least", (share * whole).alias("upto"), (F.least(share / 10, CALIBRATION_DOCS / F.col("n")) * whole).alias("held"))
+    taken = rows.join(base.sized(limits), F.col("lang") == F.col("of")).filter((F.col("h") < F.col("upto")) | (F.col("h") == F.col("least")))
+    once = base.checkpoint(taken.groupBy("lang", "h").agg(F.min("text").alias("text"), F.first(F.col("h") < F.col("held")).alias("held")))
+    # A language with no other texts has them all counted.
+    counted = once.filter("NOT held").select(F.col("lang").alias("of")).distinct()
+    return once.join(base.sized(counted), F.col("lang") == F.col("of"), "left").select("lang", "text", "h", (F.col("held") & F.col("of").isNotNull()).alias("held"))
+
+
+def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang") -> dict | None:
+    """A model of all languages of the usable rows with a language and a text."""
+    chosen = sampled(docs, usable, text_col, lang_col)
+    counts = _counts(chosen.filter("NOT held"))
     if not counts:
         return None
-    held: dict = {}
-    for r in chosen.filter(last).select("lang", "text", "h").orderBy("lang", "h").collect():
-        if r["lang"] in counts and len(held.setdefault(r["lang"], [])) < CALIBRATION_DOCS:
-            held[r["lang"]].append((r["lang"], r["text"].encode()))
-    return calibrate(kneser_ney(counts), [x for rows in held.values() for x in rows])
+    # A bounded part of the sample.
+    held = [(r["lang"], r["text"].encode()) for r in chosen.filter("held").select("lang", "text", "h").orderBy("lang", "h").collect() if r["lang"] in counts]
+    return calibrate(kneser_ney(counts), held)
 
 
-def identified(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """docs with the struct __lang: lang, score, rejected."""
+def identified(docs: DataFrame, model: dict | None, text_col: str = "text", into: str = "__lang") -> DataFrame:
+    """docs with a struct named by ``into``: lang, score, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double, rejected: boolean>")
@@ -233,7 +262,7 @@ def identified(docs: DataFrame, model: dict | None, text_col: str = "text") -> D
                 rejected.append(r)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rejected))], names=["lang", "score", "rejected"])
 
-    return docs.withColumn("__lang", identify(F.col(text_col)))
+    return docs.withColumn(into, identify(base.quoted(text_col)))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
