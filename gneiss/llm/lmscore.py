@@ -2,18 +2,20 @@
 
 All n-grams (n = 1, 2) of the training texts are counted over the whole input: tasks send sorted 48-bit hashes with
 counts to the segment of the hash space that each belongs to, as one block per segment, so a frequent
-n-gram is one entry per block.  A segment adds the counts up, quantises them to levels (level j: unit * 2^(j-1) to
-unit * 2^j - 1) and sets bits for (n-gram, 1), ..., (n-gram, level) in its part of the filter.  The filter's size follows the number of training
-tokens, and every n-gram is in it at every size.  Up to MAX_BITS it is broadcast; beyond, its segments stay where they are, the texts' distinct n-grams are sent to
-their segments, and the levels are sent back to the texts.  A count is read by probing
-levels until one is absent, and stands for the middle of its level.  The score is the
-log10 probability of a text under p(w|v) = LAMBDA * c(vw) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1).
+n-gram is one entry per block.  A segment adds the counts up, quantises them to levels (level j: 2^(j-1) to
+2^j - 1) and sets bits for (n-gram, 1), ..., (n-gram, level) in its part of the filter, which has ENTRY_BITS bits for each of these entries: below
+1 % of absent entries read as present.  Every n-gram is in the filter at every size.  Up to MAX_BITS it is broadcast; beyond, its segments
+stay where they are, the distinct n-grams of chunks of texts are sent to their segments, and a byte for the level of each is sent back; the scores are
+the same.  A count is read by probing levels until one is absent, and stands for the middle of its level.  The score is the
+log10 probability of a text under p(w|v) = LAMBDA * c(vw) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), or the last
+fraction alone if c(v) is 0.
 
 The exact unigram base beside it comes from exact counts: those of the HEAD most frequent tokens are broadcast, those of all
 others are joined by a shuffle.
 
-Defined results: a null or empty text is its end token; a null id counts as the text '' for the folds; repeated rows count and are scored each; without training
-text N and V are 0; an empty table gives an empty result.  Only the two named columns are read.
+Defined results: a null or empty text is its end token; a null id counts as the text '' for the folds; a very long text is scored whole, by one
+task; repeated rows count and are scored each; of tokens with equal counts all or none are in the head, which changes no score; without training
+text N and V are 0; an empty table gives an empty result.  Ids keep their type.  Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from gneiss.llm import base, kernels
 
 HEAD = 200_000
-#: Filter bits for each training token, the most bits that are broadcast (256 MB), probes per level, and the most levels.
-TOKEN_BITS, MAX_BITS, PROBES, LEVELS = 6, 1 << 31, 4, 40
-#: Bits for each entry where the unit is above 1, and segments that its choice looks at.
-ENTRY_BITS, LOOK = 8, 64
-#: Training tokens per segment, tokens whose n-grams are sorted at once, and distinct tokens that a task counts before it sends them.
-SEGMENT, BATCH, DISTINCT = 1 << 20, 1 << 19, 150_000
+#: Filter bits for each entry, the most bits that are broadcast (256 MB), probes per level, and the most levels.
+ENTRY_BITS, MAX_BITS, PROBES, LEVELS = 12, 1 << 31, 4, 40
+#: Training tokens per segment, the most segments, tokens whose n-grams are sorted at once, and distinct tokens that a task counts before it sends them.
+SEGMENT, MAX_SEGMENTS, BATCH, DISTINCT = 1 << 20, 1 << 16, 1 << 19, 150_000
+#: Texts of a chunk, as a power of two.
+CHUNK = 7
 LAMBDA = 0.5
 END, START = b"\n", np.uint64(0x9D39247E33776D41)
 KEY = np.uint64((1 << 48) - 1)
@@ -94,7 +96,7 @@ def grams(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return (keys * np.uint64(segments)) >> np.uint64(48) if segments < 1 << 16 else keys >> np.uint64(32)
+    return (keys >> np.uint64(16)) * np.uint64(segments) >> np.uint64(32)
 
 
 def _send(head, segments: int):
@@ -136,9 +138,9 @@ def halves(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return g & LOW, (g >> np.uint64(32)) | np.uint64(1)
 
 
-def place(a: np.ndarray, b: np.ndarray, k: int, bits: int) -> np.ndarray:
-    """The k-th bit of an n-gram within its segment."""
-    return (((a + np.uint64(k) * b) & LOW) * np.uint64(bits)) >> np.uint64(32)
+def place(a: np.ndarray, b: np.ndarray, k: int, bits) -> np.ndarray:
+    """The k-th bit of an n-gram within its segment, which has so many bits."""
+    return (((a + np.uint64(k) * b) & LOW) * bits) >> np.uint64(32)
 
 
 def totals(parts) -> tuple[np.ndarray, np.ndarray]:
@@ -151,157 +153,170 @@ def totals(parts) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(where, weights=counts)
 
 
-def levels(counts: np.ndarray, unit: int) -> np.ndarray:
-    return np.minimum(LEVELS, np.floor(np.log2(np.maximum(counts, 0.5) / unit)).astype(int) + 1).clip(0)
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(LEVELS, np.floor(np.log2(np.maximum(counts, 0.5))).astype(int) + 1).clip(0)
 
 
-def _fill(bits: int, unit: int):
-    def run(key, parts):
-        keys, counts = totals(parts)
-        level = levels(counts, unit)
-        flags = np.zeros(bits, dtype=np.uint8)
-        for j in range(1, level.max() + 1):
-            a, b = halves(keys[level >= j], j)
-            for k in range(PROBES):
-                flags[place(a, b, k, bits)] = 1
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for."""
+    return np.where(level > 0, (3.0 * 2.0 ** (level - 1.0) - 1) / 2, 0.0)
 
-    return run
+
+def _fill(key, parts):
+    """(segment, bits): a segment's part of the filter."""
+    keys, counts = totals(parts)
+    level = levels(counts)
+    bits = max(64, -(-ENTRY_BITS * int(level.sum()) // 8) * 8)
+    flags = np.zeros(bits, dtype=np.uint8)
+    for j in range(1, level.max() + 1):
+        a, b = halves(keys[level >= j], j)
+        for k in range(PROBES):
+            flags[place(a, b, k, np.uint64(bits))] = 1
+    return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
 
-def _spread(key, parts):
-    """(level, n): how many n-grams of a segment have each level for a unit of 1."""
-    n = np.bincount(levels(totals(parts)[1], 1))
-    return pa.table({"level": pa.array(np.arange(len(n))), "n": pa.array(n)})
+class Bloom:
+    """The parts of all segments, one behind the other."""
 
+    def __init__(self, parts: dict[int, bytes], segments: int):
+        sizes = np.array([len(parts.get(k, b"")) or 8 for k in range(segments)], dtype=np.uint64)
+        self.bits, self.first = sizes * np.uint64(8), (np.cumsum(sizes) - sizes) * np.uint64(8)
+        self.filter = np.zeros(int(sizes.sum()), dtype=np.uint8)
+        for k, part in parts.items():
+            at = int(self.first[k]) // 8
+            self.filter[at : at + len(part)] = np.frombuffer(part, np.uint8)
 
-def unit_for(spread: dict[int, float]) -> int:
-    """The smallest power of two whose levels fit MAX_BITS; spread: numbers of n-grams by level for a unit of 1."""
-    shift = 0
-    while sum(n * max(0, level - shift) for level, n in spread.items()) * ENTRY_BITS > MAX_BITS:
-        shift += 1
-    return 1 << shift
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        segment = segment_of(keys, len(self.bits)).astype(np.int64)
+        return probe(keys, self.filter, self.first[segment], self.bits[segment])
 
 
-def estimate(keys: np.ndarray, filter_: np.ndarray, segments: int, bits: int, unit: int = 1, local: bool = False) -> np.ndarray:
-    """Counts of distinct n-grams, by probing level after level until one is absent; local: filter_ is the keys' own segment."""
-    level = np.zeros(len(keys), dtype=np.int64)
-    at, first = np.arange(len(keys)), (np.zeros(len(keys), np.uint64) if local else segment_of(keys, segments) * np.uint64(bits))
+def probe(keys: np.ndarray, filter_: np.ndarray, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Levels of distinct n-grams, by probing level after level until one is absent; first, bits: where the segment of each n-gram begins,
+    and its size."""
+    level, at = np.zeros(len(keys), dtype=np.int8), np.arange(len(keys))
     for j in range(1, LEVELS + 1):
         a, b = halves(keys[at], j)
         for k in range(PROBES):
-            p = first[at] + place(a, b, k, bits)
+            p = first[at] + place(a, b, k, bits[at])
             there = (filter_[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             at, a, b = at[there], a[there], b[there]
         if not len(at):
             break
         level[at] = j
-    return np.where(level > 0, (3.0 * unit * 2.0 ** (level - 1) - 1) / 2, 0.0)
+    return level
+
+
+def _asked(h: Head, texts: list[bytes]) -> np.ndarray:
+    """The distinct n-grams of some texts, in order, so by segment."""
+    words = [tokens(t) for t in texts]
+    return np.unique(np.concatenate([x for w in words for x in grams(h.hash(w, h.places(w)))]))
 
 
 def _ask(head, segments: int):
-    """(chunk, segment, keys): the distinct n-grams of each chunk of texts, cut by segment."""
+    """(chunk, segment, keys): the distinct n-grams of a chunk of texts, six bytes each, cut by segment."""
 
-    def run(batches):
-        h = Head(*head.value)
-        for whole in batches:
-            for batch in kernels.slices(whole, 64):
-                chunks, keys = np.array(batch.column(0).to_pylist()), []
-                for text in kernels.texts(batch.column(1)):
-                    words = tokens(text)
-                    keys.append(np.concatenate(grams(h.hash(words, h.places(words)))))
-                for chunk in np.unique(chunks).tolist():
-                    found = np.unique(np.concatenate([keys[i] for i in np.flatnonzero(chunks == chunk)]))
-                    seg = segment_of(found, segments)
-                    starts = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1])
-                    raw = [found[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(found)))]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(raw), pa.int64()), pa.array(seg[starts].astype(np.int64)), pa.array(raw, pa.binary())], names=["chunk", "segment", "keys"])
+    def run(key, rows):
+        keys = _asked(Head(*head.value), kernels.texts(rows.sort_by("uid").column("text").combine_chunks()))
+        seg = segment_of(keys, segments)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1])
+        raw = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+        parts = [raw[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(keys)))]
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(parts), pa.int64()), "segment": pa.array(seg[starts].astype(np.int64)), "keys": pa.array(parts, pa.binary())})
 
     return run
 
 
-def _answer(bits: int):
-    """(chunk, keys, counts) of the questions to a segment."""
+def wide(raw: bytes) -> np.ndarray:
+    """Keys of six bytes each."""
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
-    def run(asked: pa.Table, part: pa.Table) -> pa.Table:
-        own = np.frombuffer(part.column("bits")[0].as_py(), np.uint8) if len(part) else np.zeros(bits // 8, np.uint8)
-        counts = [estimate(np.frombuffer(x, np.uint64), own, 1, bits, local=True).tobytes() for x in asked.column("keys").to_pylist()]
-        return pa.table({"chunk": asked.column("chunk"), "keys": asked.column("keys"), "counts": pa.array(counts, pa.binary())})
 
-    return run
+def _answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+    """(chunk, segment, levels) of the questions to a segment."""
+    own = np.frombuffer(part.column("bits")[0].as_py() if len(part) else bytes(8), np.uint8)
+    out = []
+    for raw in asked.column("keys").to_pylist():
+        keys = wide(raw)
+        out.append(probe(keys, own, np.zeros(len(keys), np.uint64), np.full(len(keys), 8 * len(own), np.uint64)).tobytes())
+    return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "levels": pa.array(out, pa.binary())})
 
 
-def _score_asked(head, total: int, kinds: int):
+def _score_asked(head, total: int, kinds: int, names: list[str]):
     """Scores of a chunk of texts from the answers to it."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, counts = (np.concatenate([np.frombuffer(x, t) for x in answers.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("counts", np.float64)))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+        h, rows = Head(*head.value), rows.sort_by("uid")
+        keys = _asked(h, kernels.texts(rows.column("text").combine_chunks()))
+        counts = middle(np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.int8).astype(float))
         batches = rows.select(["uid", "doc", "held_out", "text"]).combine_chunks().to_batches()
-        return pa.Table.from_batches(_score(head, None, 1, 1, 1, total, kinds, lambda k: counts[np.searchsorted(keys, k)])(batches))
+        return pa.Table.from_batches(_scores(h, lambda k: counts[np.searchsorted(keys, k)], None, total, kinds, names, batches))
 
     return run
 
 
-ROWS = "uid long, doc long, held_out boolean, n_tokens long, known long, logs double, score double, token binary, n long"
+ROWS = "uid long, doc {0}, held_out boolean, n_tokens long, known long, logs double, score double, token binary, n long"
 
 
-def _score(head, filter_, segments: int, bits: int, unit: int, total: int, kinds: int, known_counts=None):
-    """A row for each text with what the head and the filter give, and a row for each distinct token outside the head."""
-
+def _score(head, filter_, total: int, kinds: int, names: list[str]):
     def run(batches):
-        h, bloom = Head(*head.value), filter_ and filter_.value
+        h, bloom = Head(*head.value), Bloom({}, 1)
+        vars(bloom).update(filter_.value)
 
         def read(keys):
-            """Estimates with each distinct n-gram probed once: frequent ones have many levels."""
+            """Counts with each distinct n-gram probed once: frequent ones have many levels."""
             kinds, where = np.unique(keys, return_inverse=True)
-            return estimate(kinds, bloom, segments, bits, unit)[where]
+            return middle(bloom.levels(kinds).astype(float))[where]
 
-        if known_counts:
-            read = known_counts
-        frequent = None if known_counts else estimate(mix(h.hashes) & KEY, bloom, segments, bits, unit)
-        for whole in batches:
-            for batch in kernels.slices(whole, 384):
-                words = [tokens(t) for t in kernels.texts(batch.column(3))]
-                places = [h.places(w) for w in words]
-                pairs = [grams(h.hash(w, p)) for w, p in zip(words, places)]
-                ones, twos = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-                size = np.array([len(w) for w in words])
-                begin = np.cumsum(size) - size
-                flat = np.concatenate(places)
-                seen = flat >= 0
-                one, two = np.zeros(len(flat)), read(twos)
-                if frequent is None:
-                    one = read(ones)
-                else:
-                    one[seen], one[~seen] = frequent[flat[seen]], read(ones[~seen])
-                # The count of the word before; texts begin with START, which is counted as often as END.
-                before = np.concatenate([[0.0], one[:-1]])
-                before[begin] = one[begin + size - 1]
-                share = np.where(before > 0, np.minimum(1.0, two / np.maximum(before, 1)), 0.0)
-                smooth = (one + 1) / (total + kinds + 1)
-                p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * smooth, smooth)
-                score = np.add.reduceat(np.log10(p), begin)
-                logs = np.add.reduceat(np.where(seen, h.logs[flat] if len(h.logs) else 0.0, 0.0), begin)
-                known = np.add.reduceat(seen.astype(np.int64), begin)
-                m = len(words)
-                null = lambda t: pa.nulls(m, t)
-                names = [c.split()[0] for c in ROWS.split(", ")]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size), pa.array(known), pa.array(logs), pa.array(score), null(pa.binary()), null(pa.int64())], names=names)
-                at, rare, times = [], [], []
-                for i, (w, p) in enumerate(zip(words, places)):
-                    n = Counter(compress(w, (p < 0).tolist()))
-                    at += [i] * len(n)
-                    rare += n
-                    times += n.values()
-                if at:
-                    m = len(at)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), null(pa.int64()), null(pa.bool_()), null(pa.int64()), null(pa.int64()), null(pa.float64()), null(pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=names)
+        yield from _scores(h, read, read(mix(h.hashes) & KEY), total, kinds, names, batches)
 
     return run
 
 
+def _scores(h: Head, read, frequent, total: int, kinds: int, names: list[str], batches):
+    """A row for each text with what the head and the filter give, and a row for each distinct token outside the head.
+
+    read: counts of n-grams; frequent: those of the head's tokens, if they are there."""
+    for whole in batches:
+        for batch in kernels.slices(whole, 384):
+            words = [tokens(t) for t in kernels.texts(batch.column(3))]
+            places = [h.places(w) for w in words]
+            pairs = [grams(h.hash(w, p)) for w, p in zip(words, places)]
+            ones, twos = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            size = np.array([len(w) for w in words])
+            begin = np.cumsum(size) - size
+            flat = np.concatenate(places)
+            seen = flat >= 0
+            one, two = np.zeros(len(flat)), read(twos)
+            if frequent is None:
+                one = read(ones)
+            else:
+                one[seen], one[~seen] = frequent[flat[seen]], read(ones[~seen])
+            # The count of the word before; texts begin with START, which is counted as often as END.
+            before = np.concatenate([[0.0], one[:-1]])
+            before[begin] = one[begin + size - 1]
+            share = np.where(before > 0, np.minimum(1.0, two / np.maximum(before, 1)), 0.0)
+            smooth = (one + 1) / (total + kinds + 1)
+            p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * smooth, smooth)
+            score = np.add.reduceat(np.log10(p), begin)
+            logs = np.add.reduceat(np.where(seen, h.logs[flat] if len(h.logs) else 0.0, 0.0), begin)
+            known = np.add.reduceat(seen.astype(np.int64), begin)
+            null = lambda m, t: pa.nulls(m, t)
+            m, kind = len(words), batch.column(1).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size), pa.array(known), pa.array(logs), pa.array(score), null(m, pa.binary()), null(m, pa.int64())], names=names)
+            at, rare, times = [], [], []
+            for i, (w, p) in enumerate(zip(words, places)):
+                n = Counter(compress(w, (p < 0).tolist()))
+                at += [i] * len(n)
+                rare += n
+                times += n.values()
+            if at:
+                m = len(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), null(m, kind), null(m, pa.bool_()), null(m, pa.int64()), null(m, pa.int64()), null(m, pa.float64()), null(m, pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=names)
+
+
 def frequent(counts: DataFrame) -> DataFrame:
     """The most frequent tokens, HEAD at most: those from a count on, found from numbers of tokens by steps of the counts' logarithm."""
     step = F.floor(16 * F.log2("n")).cast("int")
@@ -324,32 +339,30 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
 def _computed(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
     learn = docs.filter(training).select(text.alias("text"))
     counts = base.checkpoint(learn.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total, kinds = counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = frequent(counts).toPandas()
     head = sc.broadcast(([bytes(x) for x in top["token"]], top["n"].to_numpy(dtype=np.float64)))
-    segments = max(1, -(-total // SEGMENT))
-    bits = max(64, TOKEN_BITS * total // segments // 8 * 8)
-    sent = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary")
-    parts = sent.groupBy("segment").applyInArrow(_fill(bits, 1), "segment long, bits binary")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc"), (~training).alias("held_out"), text.alias("text"))
+    segments = min(MAX_SEGMENTS, max(1, -(-total // SEGMENT)))
+    sent = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary").repartition(segments, "segment")
+    parts = base.checkpoint(sent.groupBy("segment").applyInArrow(_fill, "segment long, bits binary"))
+    size = 8 * (parts.select(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), base.quoted(id_col).alias("doc"), (~training).alias("held_out"), text.alias("text"))
+    schema = ROWS.format(base.kind(docs, id_col))
+    names = [c.split()[0] for c in ROWS.split(", ")]
     shared = None
-    if TOKEN_BITS * total <= MAX_BITS:
-        bloom = np.zeros(segments * bits // 8, dtype=np.uint8)
-        # The filter, MAX_BITS at most.
-        for row in parts.toLocalIterator():
-            bloom[row["segment"] * bits // 8 : (row["segment"] + 1) * bits // 8] = np.frombuffer(row["bits"], np.uint8)
-        shared = sc.broadcast(bloom)
-        del bloom
-        rows = rows.mapInArrow(_score(head, shared, segments, bits, 1, total, kinds), ROWS)
+    if size <= MAX_BITS:
+        # The filter, MAX_BITS at most; plain values, as broadcasts are unpickled without this package.
+        shared = sc.broadcast(vars(Bloom({r["segment"]: r["bits"] for r in parts.toLocalIterator()}, segments)))
+        rows = rows.mapInArrow(_score(head, shared, total, kinds, names), schema)
     else:
         # Written once, so that questions and answers are of the same chunks.
-        chunked = base.checkpoint(rows.withColumn("chunk", F.shiftright("uid", 6)))
-        asked = chunked.select("chunk", "text").mapInArrow(_ask(head, segments), "chunk long, segment long, keys binary")
-        answers = asked.groupBy("segment").cogroup(parts.groupBy("segment")).applyInArrow(_answer(bits), "chunk long, keys binary, counts binary")
-        rows = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_asked(head, total, kinds), ROWS)
+        chunked = base.checkpoint(rows.withColumn("chunk", F.shiftright("uid", CHUNK)))
+        asked = chunked.groupBy("chunk").applyInArrow(_ask(head, segments), "chunk long, segment long, keys binary").repartition(segments, "segment")
+        answers = asked.groupBy("segment").cogroup(parts.repartition(segments, "segment").groupBy("segment")).applyInArrow(_answer, "chunk long, segment long, levels binary")
+        rows = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_asked(head, total, kinds, names), schema)
     # Tokens outside the head are joined with their counts; texts' own rows have no token and keep none.
     joined = rows.join(counts.select(F.col("token").alias("__token"), F.col("n").alias("c")), F.col("token") == F.col("__token"), "left")
     done = joined.groupBy("uid").agg(
