@@ -20,6 +20,7 @@ QUERIES = {
 SQL = {
     "op4_decontamination": decontam.OP4_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_line_dedup": linededup.OP10_SQL,

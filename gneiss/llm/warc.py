@@ -1,19 +1,22 @@
 """WARC archives of pages, and their capture index by external merging.
 
-Pages are written as gzip-compressed WARC 1.1 files by Spark's text writer, whose line separator is the end of a record, so
-any store that Spark writes to will do.  Of the pages with equal payloads the one with the smallest id is a response and
-the others are revisits of it, without a payload.  Read back, every file gives a run of captures sorted by (URL
-key, timestamp, id).  Runs are cut at the same range bounds, and a loser tree merges the
-pieces of all runs in each range, so the ranges one after the other are the ordered capture histories.
+Pages are written as WARC 1.1 files with a gzip member for each record.  Tasks put members together to files of about FILE_BYTES bytes, which Spark's
+text writer takes as one value each, so any store that Spark writes to will do; the writer's line separator behind it is an empty member.
+Of the pages with equal payloads the one with the smallest id is a response and the others are revisits of it, without a payload.
+Read back, every file gives a run of captures sorted by (URL key, timestamp, id), with the place of the member in the file.  Runs are
+stored, cut at the same range bounds, and a loser tree merges the pieces of all runs in each range of about RANGE_ROWS captures, so
+the ranges one after the other are the ordered capture histories.
 
 Defined results: a null payload is empty; a null URL has no target header and the key ''; line breaks in a URL are written as %0D and
-%0A; pages with a null id are responses if no page with an id has their payload, else revisits; repeated ids are repeated records; an empty
-table gives no record.  Only the named columns are read.
+%0A; pages with a null id are responses if no page with an id has their payload, else revisits; captures with equal keys and times are in the
+order of ids as text, then of files; a very long payload is a record and, with those before it in its file, whole in the memory of one task; repeated ids are
+repeated records; an empty table gives no record.  Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import base
 
-#: Records of a file at most; a file is read by one task.
-FILE_RECORDS = 2000
+#: Compressed bytes from which on a file is closed, and captures that a task merges; a file is read by one task.
+FILE_BYTES, RANGE_ROWS = 1 << 23, 1 << 17
+#: A gzip member without content, as characters of one byte each.
+EMPTY = gzip.compress(b"", mtime=0).decode("latin-1")
 #: The date of page 0 where pages have no date of their own; a page is dated as many seconds later as its id says.
 EPOCH = 1_704_067_200
 CAPTURES = "run string, seq long, url_key string, timestamp string, url string, page_id string, record_type string, payload_digest string, payload_bytes long, refers_to string, offset long, length long"
@@ -39,9 +44,9 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(value) text of the WARC record of each page, without the blank lines that end it."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
+    """(value) the WARC record of each page."""
+    payload = F.coalesce(base.quoted(payload_col), F.lit(""))
+    rows = pages.select(base.quoted(id_col).alias("id"), base.quoted(url_col).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
     shared = rows.filter(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     shared = base.sized(shared.select(F.col("digest").alias("__digest"), F.col("n").alias("__n"), "first"))
     joined = rows.join(shared, (F.col("digest") == F.col("__digest")) & (F.col("n") == F.col("__n")), "left")
@@ -50,13 +55,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    seconds = F.lit(EPOCH) + F.pmod(F.coalesce(F.xxhash64("id") if dict(pages.dtypes)[id_col] == "string" else F.col("id").cast("long"), F.lit(0)), F.lit(1 << 31))
+    seconds = F.lit(EPOCH) + F.pmod(F.coalesce(base.id_key(rows, "id"), F.lit(0)), F.lit(1 << 31))
+    # Without a zone, so that the session's doesn't matter.
+    date = F.replace((F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).cast("string"), F.lit(" "), F.lit("T"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("id"))),
-        line("WARC-Date", F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.concat(date, F.lit("Z"))),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first"))))).otherwise(F.lit("")),
@@ -64,12 +71,29 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return joined.select(F.concat(head, block).alias("value"))
+    return joined.select(F.concat(head, block, F.lit("\r\n\r\n")).cast("binary").alias("value"))
+
+
+def _members(batches):
+    """(value) contents of files: a gzip member for each record."""
+    parts, size = [], 0
+    for batch in batches:
+        for record in batch.column(0):
+            packer = zlib.compressobj(wbits=31)
+            parts.append(packer.compress(record.as_buffer()) + packer.flush())
+            size += len(parts[-1])
+            if size >= FILE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
+                parts, size = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["value"])
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
     """Write the pages as WARC files into a folder."""
-    records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    with base.small_batches(pages.sparkSession):
+        files = records(pages, **columns).mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
+        files.write.option("lineSep", EMPTY).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -83,21 +107,34 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in ("80", "443") else "") + ")" + (after[cut:] or "/")
 
 
-def parse(data: bytes):
-    """Yields (offset, length, headers, block) of each record."""
-    at = 0
+def members(data):
+    """Yields (offset, length, content) of each gzip member that isn't empty, one after the other."""
+    at, data = 0, memoryview(data)
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].split(b"\r\n")
-        if not first.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.decode().lower(): v.decode() for k, _, v in (x.partition(b": ") for x in lines)}
-        begin = end + 4
-        stop = begin + int(headers["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where it says")
-        yield at, stop + 4 - at, headers, data[begin:stop]
-        at = stop + 4
+        unpacker, end, parts = zlib.decompressobj(wbits=31), at, []
+        while not unpacker.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at byte {at} has no end")
+            piece = data[end : end + (1 << 14)]
+            parts.append(unpacker.decompress(piece))
+            end += len(piece)
+        end -= len(unpacker.unused_data)
+        if content := b"".join(parts):
+            yield at, end - at, content
+        at = end
+
+
+def parse(record: bytes) -> tuple[dict, bytes]:
+    """(headers, block) of a record."""
+    end = record.find(b"\r\n\r\n")
+    first, *lines = record[:end].split(b"\r\n")
+    if end < 0 or not first.startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    headers = {k.decode().lower(): v.decode() for k, _, v in (x.partition(b": ") for x in lines)}
+    stop = end + 4 + int(headers["content-length"])
+    if record[stop:] != b"\r\n\r\n":
+        raise ValueError("the record doesn't end where it says")
+    return headers, record[end + 4 : stop]
 
 
 def payload(headers: dict, block: bytes) -> bytes | None:
@@ -109,9 +146,9 @@ def _captures(batches):
     """A sorted run of CAPTURES of each file."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = zlib.decompress(content.as_buffer(), wbits=31) if len(content.as_buffer()) else b""
             run = []
-            for offset, length, headers, block in parse(data):
+            for offset, length, record in members(content.as_buffer()):
+                headers, block = parse(record)
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 body = payload(headers, block)
                 if body is not None and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
@@ -186,7 +223,7 @@ def _merge(batches):
 
 def histories(captures: DataFrame) -> DataFrame:
     """Captures in the order of URL key, timestamp and id, over all partitions; captures: sorted runs, computed once."""
-    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
     return captures.repartitionByRange(n, "url_key", "timestamp", "page_id", "run", "seq").mapInArrow(_merge, CAPTURES)
 
 
@@ -197,5 +234,20 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = base.checkpoint(runs(spark, path))
     base.remove(spark, path)
     done = histories(captures)
-    kind = dict(pages.dtypes)["page_id"]
-    return done.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url_key", "timestamp")
+    kind = base.kind(pages, "page_id")
+    return done.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+OP6_SQL = r"""
+WITH bodies AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex, n) AS first FROM bodies
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts
+"""
