@@ -8,9 +8,10 @@ that lives inside also visits the outside shards, so every near pair meets in th
 one of the two.  Within a shard a second tree prunes in the same way down to small leaves, which are compared in
 full.  Shards return a spanning forest of their links, not the pairs, and the links are merged to components.
 
-Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked as any other; repeated rows are
-copies of each other; a component of null ids only has a null id; an empty table gives an empty result.
-Only the two named columns are read.
+Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked as any other; a very long text is hashed
+in pieces of CHUNK words that overlap, so whole; repeated rows are copies of each other; a component of null ids only has a null id; of
+several links to a component the smallest fingerprint and id count, so ties don't matter; an empty table gives an empty result.
+Ids keep their type.  Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -174,22 +175,28 @@ def _links(bits: int):
     return run
 
 
+def tree_links(distinct: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links of ``bits`` bits or fewer between distinct fingerprints (fp, computed once), a spanning forest of each shard's."""
+    n = distinct.count()
+    shards = min(MAX_SHARDS, -(-n // SHARD))
+    tree = None
+    if shards > 1:
+        # About SAMPLE fingerprints for each shard, by a share of a hash's values, so no task sees them all.
+        below = F.shiftrightunsigned(F.xxhash64("fp"), 1) < int((1 << 63) * min(1.0, SAMPLE * shards / n))
+        sample = np.sort(distinct.filter(below).select("fp").toPandas()["fp"].to_numpy().view(np.uint64))
+        tree = distinct.sparkSession.sparkContext.broadcast(grow(sample, shards))
+    dealt = distinct.select("fp").mapInArrow(_deal(tree, bits), "shard long, fp long, home boolean")
+    return dealt.groupBy("shard").applyInArrow(_links(bits), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, width: int = 3) -> DataFrame:
     """(doc, text_hash, fp, root, component) of every row: fp is the fingerprint as a long, root the smallest fingerprint
     reachable over links of ``bits`` bits or fewer, component the smallest id so reachable; text_hash is xxhash64 of the text."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    rows = base.checkpoint(rows.mapInArrow(_fingerprints(width), "doc long, text_hash long, fp long"))
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
+    rows = docs.select(base.quoted(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = base.checkpoint(rows.mapInArrow(_fingerprints(width), f"doc {base.kind(docs, id_col)}, text_hash long, fp long"))
     distinct = base.checkpoint(rows.groupBy("fp").agg(F.min("doc").alias("least")))
-    shards = min(MAX_SHARDS, -(-distinct.count() // SHARD))
-    tree = None
-    if shards > 1:
-        sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE * shards).toPandas()["fp"].to_numpy()
-        tree = spark.sparkContext.broadcast(grow(sample.view(np.uint64), shards))
-    dealt = distinct.select("fp").mapInArrow(_deal(tree, bits), "shard long, fp long, home boolean")
-    edges = dealt.groupBy("shard").applyInArrow(_links(bits), "a long, b long")
-    linked = components(edges).withColumnRenamed("node", "fp")
+    linked = components(tree_links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(least, "root").select("fp", "root", "component")
     # A table of its own, so that a fingerprint with a third of all rows can be split in the join.
@@ -198,15 +205,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=near_duplicates) -> DataFrame:
-    """One row of docs from each class of near-duplicates, that with the smallest id (and text hash, if ids repeat);
-    classes: the function that finds them, this module's or that of ``jaccard``."""
-    first = classes(docs, id_col, text_col).filter(F.col("doc").eqNullSafe(F.col("component")))
-    first = base.checkpoint(first.groupBy("root", "doc").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("rows")))
-    side = first.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).hint("shuffle_hash")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
-    kept = docs.join(side, same, "left_semi")
-    # Only rows that repeat an id and a text are left to tell apart.
-    return kept.dropDuplicates([id_col, text_col]) if first.filter("rows > 1").limit(1).count() else kept
+    """One row of docs from each class of near-duplicates, that with the smallest id (and text hash, if ids repeat; a null id
+    comes last).  Of rows that repeat an id and a text, that with the smallest other columns, as JSON, stays.
+    classes: the function that finds them, this module's or that of ``jaccard``.
+
+    Only ids and hashes of the rows that go are joined with docs; below a checked size they are broadcast and no text moves.
+    """
+    found = base.checkpoint(classes(docs, id_col, text_col).select("doc", "text_hash", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "text_hash")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    members = found.join(base.sized(first.filter("rows > 1").select("root", F.col("first.doc").alias("d"), F.col("first.text_hash").alias("h"))), "root")
+    stays = F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    doc, text_hash = base.unused(docs.columns, "__doc", "__hash")
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
+    same = base.quoted(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(text_hash))
+    kept = docs.join(base.sized(members.filter(~stays).select("doc", "text_hash").distinct().toDF(doc, text_hash)), same, "left_anti")
+    again = base.sized(members.filter(stays).groupBy("doc", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc", "text_hash").toDF(doc, text_hash))
+    if not again.limit(1).count():
+        return kept
+    all_ = [base.quoted(c) for c in docs.columns]
+    others = [base.quoted(c) for c in docs.columns if c.lower() not in (id_col.lower(), text_col.lower())]
+    repeats = kept.join(again, same, "left_semi").groupBy(base.quoted(id_col).alias("a"), F.xxhash64(text).alias("b"))
+    one = repeats.agg(F.min_by(F.struct(*all_), F.to_json(F.struct(F.lit(0).alias("z"), *others))).alias("row"))
+    return kept.join(again, same, "left_anti").unionByName(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
