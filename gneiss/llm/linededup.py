@@ -13,7 +13,8 @@ With ``keep_first`` a line that would go stays where it occurs first, by (docume
 out the first occurrence of a hash that begins in it; as its first hash may have begun in an earlier range,
 reports also have the first occurrence they know, and the least of these is put back.
 
-Defined results: a null or empty text is one empty line; a line that strips to
+Defined results: ids that aren't integers are known by their 64-bit hash; a null or empty text is one empty line; a very long text
+is split whole, its lines are rows as any others; a line that strips to
 nothing is never dropped (``min_chars`` of 0 counts as 1); repeated rows with the same id and
 text are one document, rows with the same id and other texts are two; an empty table gives
 an empty result.  Only the two named columns are read, so other columns never clash.
@@ -67,8 +68,8 @@ def _split(min_chars: int, passages: bool = False):
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, passages: bool = False) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
+    rows = docs.select(base.id_key(docs, id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return rows.mapInArrow(_split(min_chars, passages), "h1 long, h2 long, doc long, text_hash long, pos int")
 
 
@@ -166,7 +167,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "lines") -> DataFrame:
-    """docs with a struct column named by ``into`` (n_lines, n_dropped, kept): kept is the text of the kept lines, '' for a null text."""
+    """docs with a struct column named by ``into`` (n_lines, n_dropped, kept): kept is the text of the kept lines, '' for a null text.
+
+    Bitmaps are broadcast below a checked size, and texts stay where they are; beyond, both sides are shuffled."""
 
     @F.pandas_udf("n_dropped long, kept string")
     def cut(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
@@ -181,16 +184,17 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
             dropped.append(int(len(flags) - flags.sum()))
         return pd.DataFrame({"n_dropped": dropped, "kept": kept})
 
-    side = bitmaps.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep")).hint("shuffle_hash")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    done = joined.withColumn("__cut", cut(F.when(F.col("__keep").isNotNull(), text), F.col("__keep")))
+    doc, text_hash, keep, done_ = base.unused(docs.columns, "__doc", "__hash", "__keep", "__cut")
+    side = base.sized(bitmaps.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("keep").alias(keep)))
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
+    joined = docs.join(side, base.id_key(docs, id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(text_hash)), "left")
+    done = joined.withColumn(done_, cut(F.when(F.col(keep).isNotNull(), text), F.col(keep)))
     struct = F.struct(
         (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.col("__cut.n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.col("__cut.kept"), text).alias("kept"),
+        F.coalesce(F.col(f"{done_}.n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.col(f"{done_}.kept"), text).alias("kept"),
     )
-    return done.select(*(docs[c] for c in docs.columns), struct.alias(into))
+    return done.select(*(base.quoted(c) for c in docs.columns), struct.alias(into))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
