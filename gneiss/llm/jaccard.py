@@ -1,35 +1,40 @@
-"""Near-duplicates by the similarity of texts' shingles.
+"""SimHash near-deduplication by the similarity of texts' shingles, for stages that have to find copies as unlike as 0.8.
 
 Two texts are near-duplicates if the Jaccard similarity of their sets of ``width``-word shingles is ``SIMILAR`` or more; classes
-are the components of that relation.  Texts with equal sets are merged first.  Each distinct set has BANDS keys of ROWS
-minimum hashes each; only sets that share a key are looked at, and every link is verified on the whole sets, so
-none is wrong.  A pair just at 0.8 shares no key with probability (1 - 0.8^4)^32 = 5e-8, a more similar one with less.
+are the components of that relation.  Texts with equal sets are merged first.  Fingerprints of the sets that are BITS bits apart or less,
+found by vantage-point trees, are the first candidates.  Texts just at 0.8 differ in 3 to 11 of 64 bits; with such a radius nearly every
+fingerprint lies at the boundary of every node, and no tree prunes anything.  So the rest is found by minimum hashes: each distinct set has
+BANDS keys of ROWS of them each; sets that share a key are candidates.  Every candidate is verified on the whole sets, so
+no link is wrong.  A pair just at 0.8 shares no key with probability (1 - 0.8^4)^32 = 5e-8, a more similar one with less.
 
-A key that very many sets hold isn't compared pair by pair at once: each round compares its sets with one leader of the key, another
-in each round, and only pairs in different classes are left.  Once these are few, or ROUNDS are over, all of them are compared.
+A key that very many sets hold isn't compared pair by pair at once.  The first LEADERS rounds compare its sets with one leader of the key,
+another in each; only pairs in different classes are left open.  Further rounds take blocks of the sets, by a hash, as queries
+against all with their keys, each as many as FEW pairs for every distinct set allow, until no pair is open or each set has been a query.
 
 Defined results: texts are split at ASCII white space with A-Z lower-cased; a text of fewer words than ``width`` is one shingle; null texts, empty ones and
-those of white space have the empty set and are copies of each other; repeated rows are copies; an empty table gives an empty
-result.  Only the two named columns are read.
+those of white space have the empty set and are copies of each other; very long texts are compared whole; repeated rows are copies; of ties
+the smallest id and hash count; an empty table gives an empty result.  Ids keep their type.  Only the two named columns are read.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm import base, kernels
+from gneiss.llm import base, kernels, simhash
 from gneiss.llm.components import components
 
 #: Similarity from which on texts are near-duplicates, as a fraction.
 SIMILAR = (4, 5)
-#: Keys per set, minimum hashes per key, and shingles that are hashed at once.
-BANDS, ROWS, CHUNK = 32, 4, 1 << 12
-#: Rounds with leaders at most, and pairs per distinct set that may be compared at once.
-ROUNDS, FEW = 12, 4
+#: Bits by which fingerprints of first candidates differ; keys per set, minimum hashes per key, and shingles that are hashed at once.
+BITS, BANDS, ROWS, CHUNK = 2, 32, 4, 1 << 11
+#: Rounds with one leader for each key; pairs per distinct set that a later round compares, and as many in any case.
+LEADERS, FEW, LEAST = 4, 4, 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,22 +65,30 @@ def bands(set_: np.ndarray) -> np.ndarray:
     """The BANDS keys of a set that isn't empty."""
     least = np.full(len(_KINDS), ~np.uint64(0))
     for lo in range(0, len(set_), CHUNK):
-        part = set_[lo : lo + CHUNK]
-        for k, kind in enumerate(_KINDS):
-            least[k] = min(least[k], ((part ^ kind) * (kind | np.uint64(1))).min())
+        part = set_[None, lo : lo + CHUNK] ^ _KINDS[:, None]
+        part *= _KINDS[:, None] | np.uint64(1)
+        np.minimum(least, part.min(axis=1), out=least)
     out = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         out = _mix(out + column)
     return out
 
 
+def fingerprint(set_: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; that of the empty set is 0."""
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(set_), 1 << 16):
+        ones += np.unpackbits(set_[lo : lo + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(set_), bitorder="little").view("<i8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
 def _sets(width: int):
-    """(doc, text_hash, fp, n, bands): a hash of each text's set, its size, and its keys; the empty set has none."""
+    """(doc, text_hash, fp, n, sim, bands): a hash of each text's set, its size, fingerprint and keys; the empty set has none."""
 
     def run(batches):
         for whole in batches:
@@ -83,7 +96,7 @@ def _sets(width: int):
                 sets = [shingles(t, width) for t in kernels.texts(batch.column(2))]
                 prints = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
                 keys = pa.array([bands(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), keys], names=["doc", "text_hash", "fp", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(fingerprint, sets)), pa.int64()), keys], names=["doc", "text_hash", "fp", "n", "sim", "bands"])
 
     return run
 
@@ -115,11 +128,11 @@ def _sized(x: str, y: str):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(doc, text_hash, fp, root, component) of every row: fp is a hash of the text's set of shingles, root the smallest
     one reachable over links, component the smallest id so reachable; text_hash is xxhash64 of the text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    rows = base.checkpoint(source.mapInArrow(_sets(width), "doc long, text_hash long, fp long, n long, bands array<long>"))
+    text = F.coalesce(base.quoted(text_col), F.lit(""))
+    source = docs.select(base.quoted(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = base.checkpoint(source.mapInArrow(_sets(width), f"doc {base.kind(docs, id_col)}, text_hash long, fp long, n long, sim long, bands array<long>"))
     # One row stands for all that have its set.
-    distinct = base.checkpoint(rows.groupBy("fp").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.min(F.struct("text_hash", "doc")).alias("at"), F.min("bands").alias("bands")))
+    distinct = base.checkpoint(rows.groupBy("fp").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min(F.struct("text_hash", "doc")).alias("at"), F.min("bands").alias("bands")))
     keyed = distinct.select("fp", "n", F.explode("bands").alias("band"))
     # A table of its own, so that a key with very many sets can be split in the join.
     shared = base.checkpoint(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("band"))
@@ -128,40 +141,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = source.join(base.sized(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc").eqNullSafe(F.col("d")))
     # Rows may repeat an id and a text.
     texts = base.checkpoint(found.groupBy("fp").agg(F.min("text").alias("text")))
-    few = FEW * max(1, distinct.count())
+    few = max(LEAST, FEW * distinct.count())
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = base.checkpoint(pairs.select("a", "b").distinct())
+        pairs = base.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         both = pairs.join(texts.toDF("b", "other"), "b").join(texts.toDF("a", "text"), "a")
         return base.checkpoint(both.select("a", "b", "text", "other").mapInArrow(_verify(width), "a long, b long"))
 
-    edges, linked, left = None, None, 1
-    for step in range(ROUNDS + 1):
+    prints = base.checkpoint(distinct.filter("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")))
+    near = simhash.tree_links(prints.select(F.col("sim").alias("fp")), BITS)
+    near = near.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = distinct.join(prints, "sim").filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    first, edges, linked = near.unionByName(equal), None, None
+    upto, share = 0.0, F.shiftrightunsigned(F.xxhash64(F.lit("block"), "fp"), 1) / float(1 << 63)
+    for step in count():
         now = members.withColumn("root", F.col("fp")) if linked is None else base.checkpoint(members.join(linked.toDF("fp", "r"), "fp", "left").select("band", "fp", "n", F.coalesce("r", "fp").alias("root")))
         sizes = now.groupBy("band", "root").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("band").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
         open_ = base.checkpoint(sizes.filter("open > 0"))
         left = open_.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        if not left:
+        if linked is not None and (not left or upto >= 1):
             break
         now = now.join(open_.select("band"), "band")
-        last = left <= few or step == ROUNDS
-        if last:
-            other = now.toDF("band", "fp2", "n2", "root2")
-            pairs = now.join(other, "band").filter((F.col("fp") < F.col("fp2")) & (F.col("root") != F.col("root2")) & _sized("n", "n2"))
+        if step < LEADERS and left > few:
+            queries = now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "fp").alias("h"), "fp", "n", "root")).alias("x")).select("band", "x.fp", "x.n", "x.root")
         else:
-            leader = base.checkpoint(now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "fp").alias("h"), "fp", "n", "root")).alias("x")).select("band", F.col("x.fp").alias("fp2"), F.col("x.n").alias("n2"), F.col("x.root").alias("root2")))
-            pairs = now.join(leader, "band").filter((F.col("root") != F.col("root2")) & _sized("n", "n2"))
-        new = links(pairs.select(F.col("fp2").alias("a"), F.col("fp").alias("b")))
-        edges = new if edges is None else edges.unionByName(new)
+            since, upto = upto, 1.0 if left <= few else upto + few / (2 * left)
+            queries = now.filter((share >= since) & (share < upto)) if upto < 1 else now.filter(share >= since)
+        queries = base.checkpoint(queries.toDF("band", "fp2", "n2", "root2"))
+        pairs = now.join(queries, "band").filter((F.col("root") != F.col("root2")) & _sized("n", "n2"))
+        pairs = pairs.select(F.col("fp2").alias("a"), F.col("fp").alias("b"))
+        new = links(pairs if edges else pairs.unionByName(first))
+        edges = edges.unionByName(new) if edges else new
         linked = components(edges).select("node", "root")
-        if last:
-            break
-    if linked is None:
-        classes = distinct.select("fp", F.col("fp").alias("root"), F.col("least").alias("component"))
-    else:
-        linked = linked.withColumnRenamed("node", "fp")
-        least = linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component"))
-        linked = linked.join(least, "root").select("fp", "root", "component")
-        classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"))
+    linked = linked.withColumnRenamed("node", "fp")
+    least = linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    linked = linked.join(least, "root").select("fp", "root", "component")
+    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"))
     # A table of its own, so that a set with a third of all rows can be split in the join.
     return rows.join(base.checkpoint(classes), "fp").select("doc", "text_hash", "fp", "root", "component")
