@@ -152,9 +152,10 @@ def brute_similar(texts):
     return label
 
 
-def test_near_dedup_stage_is_by_similarity(spark, docs, monkeypatch):
-    monkeypatch.setattr(jaccard, "FEW", 0)
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+@pytest.mark.parametrize(("leaders", "least"), [(4, 1 << 17), (1, 2500)])
+def test_near_dedup_stage_is_by_similarity(spark, docs, monkeypatch, leaders, least):
+    monkeypatch.setattr(jaccard, "LEAST", least)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     r = random.Random(8)
     data = [(i, x["text"]) for i, x in enumerate(docs.collect())]
     # Groups whose members differ from one text in some words, so that many are similar to it or by way of others only.
@@ -291,11 +292,46 @@ def test_blocks_of_items_give_the_same(spark, docs, monkeypatch):
     assert sorted(rows(decontam.per_document(decontam.search(docs, bench)[1]))) == one and len(one) == 9
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "a x b c"), (2, "a b c"), (3, "c x x x a")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    assert {r["doc"] for r in decontam.search(docs, bench)[1].collect()} == {2}
-    assert {r["doc"] for r in decontam.search(docs, bench, slop=1)[1].collect()} == {1, 2}
+def brute_near(text, item, slop):
+    """Whether some start has rising positions of the item's words near to their places, and the words under all such spans."""
+    words, want = text.split(), item.split()
+    covered = set()
+    for t in range(-slop, len(words) + slop):
+        last, first = -1, None
+        for k, w in enumerate(want):
+            at = next((p for p in range(max(t + k - slop, last + 1, 0), min(t + k + slop, len(words) - 1) + 1) if words[p] == w), None)
+            if at is None:
+                break
+            last, first = at, at if first is None else first
+        else:
+            covered |= set(range(first, last + 1))
+    return covered
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+@pytest.mark.parametrize("shard", [1, 40, 1 << 20])
+def test_proximity(spark, monkeypatch, slop, shard):
+    monkeypatch.setattr(decontam, "SHARD_WORDS", shard)
+    r = random.Random(slop)
+    texts = ["a x b x c", "a b c", "c x x x a", "a a q", "a c", "q r s", "a c", "", "a"] + [" ".join(r.choices("abcx", k=r.randrange(14))) for _ in range(60)]
+    items = ["a b c", "a a c", "c", "a b a b", "x x x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(m["doc"], m["item"]): m["spans"] for m in decontam.search(docs, bench, slop=slop)[1].collect()}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            spans = got.get((i, str(j)), [])
+            assert {p for a, b in zip(spans[::2], spans[1::2]) for p in range(a, b)} == brute_near(t, item, slop), (t, item)
+
+
+def test_long_items_are_cut_without_loss(spark, docs, monkeypatch):
+    long = " ".join(f"word{i % 977} tail{i % 13}" for i in range(200, 420))
+    bench = spark.createDataFrame([(1, long), (1, long), (2, "unique text number 3 of many")], "item_id long, text string")
+    key = lambda df: sorted(map(repr, rows(decontam.per_document(df))))
+    one = key(decontam.search(docs, bench)[1])
+    monkeypatch.setattr(decontam, "PIECE", 7)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 900)
+    assert key(decontam.search(docs, bench)[1]) == one and len(one) == 2
 
 
 # Quality rules
@@ -329,6 +365,25 @@ def test_host_rates_shrink(spark):
     assert mean < got["tiny"]["rate"] < 1 and 0 < got[None]["rate"] < mean
 
 
+def test_the_prior_shrinks_where_hosts_are_small(spark):
+    rng = np.random.default_rng(4)
+    sizes = np.array([1] * 20_000 + [500] * 200)
+    fails = rng.binomial(sizes, rng.beta(2, 8, len(sizes)))
+    rows_ = [(f"h{i}", int(n), int(k)) for i, (n, k) in enumerate(zip(sizes, fails))]
+    judged = spark.createDataFrame(rows_, "host string, n int, k int").select("host", F.explode(F.sequence(F.lit(1), "n")).alias("i"), "k").select("host", (F.col("i") <= F.col("k")).alias("failed"))
+    got = {r["host"]: r for r in quality_rules.host_verdicts(judged, "host", F.col("failed"), 0.5).collect()}
+    mean = fails.sum() / sizes.sum()
+    one, none_ = (next(got[f"h{i}"]["rate"] for i in range(20_000) if fails[i] == k) for k in (1, 0))
+    # (k + mean * s) / (1 + s) tells the strength s.
+    for rate, k in ((one, 1), (none_, 0)):
+        strength = (k - rate) / (rate - mean)
+        assert 7 < strength < 13
+    assert one < 0.5
+    # Hosts that don't differ but by chance are all judged as the average one.
+    even = judged.select("host", F.lit(True).alias("failed")).filter("host < 'h1'").unionByName(spark.range(3000).select(F.concat(F.lit("x"), "id").alias("host"), (F.col("id") % 5 == 0).alias("failed")))
+    assert {r["rejected"] for r in quality_rules.host_verdicts(even.filter("host LIKE 'x%'"), "host", F.col("failed"), 0.5).collect()} == {False}
+
+
 # Language models
 
 
@@ -337,11 +392,11 @@ def test_language_id(spark, docs):
     model = langid.train(ok, F.expr("doc_id % 4 <> 2"))
     held = langid.identified(ok.filter("doc_id % 4 = 2"), model).select("lang", "__lang.*").toDF("truth", "lang", "score", "rejected").collect()
     assert np.mean([r["truth"] == r["lang"] for r in held]) > 0.97
-    chars = model["chars"]
+    (block,) = model["blocks"]
     for a, b in ((116, 104), (32, 113), (9999, 32)):
-        c = np.array([[a, b, int(k)] for k in chars], dtype=np.uint64)
-        at, seen = langid.Levels(model["trigrams"], None).find(langid.pack_rows(c))
-        p = np.exp(np.where(seen[:, None], model["p3"][at], langid._back_off(model, c))).sum(axis=0)
+        c = np.array([[a, b, int(k)] for k in block["chars"]], dtype=np.uint64)
+        at, seen = langid.Levels(block["trigrams"], None).find(langid.pack_rows(c))
+        p = np.exp(np.where(seen[:, None], block["p3"][at], langid._back_off(block, c))).sum(axis=0)
         assert ((p > 0.9) & (p < 1.001)).all()
     edge = langid.identified(docs.select("doc_id", "text"), model).collect()
     for r in edge:
@@ -351,6 +406,56 @@ def test_language_id(spark, docs):
     assert {r["__lang"]["lang"] for r in langid.identified(docs.select("text"), None).collect()} == {"und"}
 
 
+def brute_kneser_ney(texts, alphabet):
+    """log p(c | ab) by plain dicts."""
+    grams = Counter(g for t in texts for g in (t[i : i + 3] for i in range(len(t) - 2)))
+    two = Counter(g[1:] for g in grams)
+    one = Counter(g[1] for g in two)
+
+    def discount(counts):
+        n1, n2 = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+
+    d1, d2, d3 = map(discount, (one, two, grams))
+
+    def p(g):
+        low = d1 * len(one) / sum(one.values()) / alphabet + max(one[g[2]] - d1, 0) / sum(one.values())
+        after = [v for k, v in two.items() if k[0] == g[1]]
+        mid = max(two[g[1:]] - d2, 0) / sum(after) + d2 * len(after) / sum(after) * low if after else low
+        after = [v for k, v in grams.items() if k[:2] == g[:2]]
+        return max(grams[g] - d3, 0) / sum(after) + d3 * len(after) / sum(after) * mid if after else mid
+
+    return lambda g: math.log(p(g))
+
+
+def test_kneser_ney_against_plain_dicts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    r = random.Random(6)
+    texts = {f"l{k}": [" ".join("".join(r.choices("abcdefghij"[k:] + "é日", k=r.randrange(1, 7))) for _ in range(30)) for _ in range(6)] for k in range(5)}
+    df = spark.createDataFrame([(x, t) for x, ts in texts.items() for t in ts], "lang string, text string")
+    model = langid.kneser_ney(langid._counts(df))
+    clean = {x: [f" {t} " for t in ts] for x, ts in texts.items()}
+    alphabet = len({g[2] for ts in clean.values() for t in ts for g in (t[i : i + 3] for i in range(len(t) - 2))}) + 1
+    for probe in ("abc bad", "zzz ab", "é日a xyz", "q"):
+        got, sizes = langid.entropies(model, [probe.encode()])
+        padded = f" {probe} "
+        for k, x in enumerate(model["langs"]):
+            p = brute_kneser_ney(clean[x], alphabet)
+            assert got[0, k] == pytest.approx(-sum(p(padded[i : i + 3]) for i in range(len(padded) - 2)) / sizes[0], abs=1e-9)
+
+
+def test_samples_follow_their_bounds_at_every_size(spark, monkeypatch):
+    df = spark.range(3000).select(F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") < 2990, "big").otherwise("tiny").alias("lang"))
+    df = df.unionByName(spark.range(5000).select(F.lit("hot copy").alias("text"), F.lit("big").alias("lang")))
+    monkeypatch.setattr(langid, "MAX_DOCS", 300)
+    got = Counter((r["lang"], r["held"]) for r in langid.sampled(df, F.lit(True)).collect())
+    assert 200 < got["big", False] + got["big", True] < 400 and 5 < got["big", True] < 70
+    assert got["tiny", False] + got["tiny", True] == 10 and got["tiny", False]
+    # A language with very many rows keeps a share, be it ever so small.
+    monkeypatch.setattr(langid, "MAX_DOCS", 1e-9)
+    assert Counter(r["lang"] for r in langid.sampled(df, F.lit(True)).collect()) == {"big": 1, "tiny": 1}
+
+
 def test_languages_of_few_rows_are_learned(spark):
     df = spark.createDataFrame([(i, f"some words of language {i}", f"l{i}") for i in range(60)], "doc_id long, text string, lang string")
     assert len(langid.train(df, F.lit(True))["langs"]) == 60
@@ -374,30 +479,54 @@ def test_lm_score(docs, head, monkeypatch):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
-@pytest.mark.parametrize("unit", [1, 4])
-def test_filter_keeps_quantised_counts(unit):
+def brute_score(text, ones, twos, total, kinds):
+    """The score of a text from exact counts, each as the middle of its level."""
+    middle = lambda n: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 if n else 0.0
+    words, out = lmscore.tokens(text), 0.0
+    for v, w in zip([None, *words], words):
+        before, smooth = middle(ones[lmscore.END if v is None else v]), (middle(ones[w]) + 1) / (total + kinds + 1)
+        out += math.log10(lmscore.LAMBDA * min(1.0, middle(twos[v, w]) / before) + (1 - lmscore.LAMBDA) * smooth if before else smooth)
+    return out
+
+
+@pytest.mark.parametrize("max_bits", [1 << 31, 1000])
+def test_scores_against_exact_counts(docs, max_bits, monkeypatch):
+    from gneiss.llm import base
+
+    # So many bits that hardly any entry is wrong.
+    monkeypatch.setattr(lmscore, "ENTRY_BITS", 200)
+    monkeypatch.setattr(lmscore, "MAX_BITS", max_bits)
+    monkeypatch.setattr(lmscore, "SEGMENT", 4096)
+    monkeypatch.setattr(lmscore, "HEAD", 50)
+    source = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    learned = [lmscore.tokens(t) for i, t in source if fold(i, 7) != 2]
+    ones, twos = Counter(w for ws in learned for w in ws), Counter(p for ws in learned for p in zip([None, *ws], ws))
+    got = lmscore.score(docs, base.fold(F.col("doc_id"), 7) != 2).collect()
+    key = lambda x: (repr(x[0]), x[1])
+    expected = sorted(((i, brute_score(t, ones, twos, sum(ones.values()), len(ones))) for i, t in source), key=key)
+    for (i, x), (j, y) in zip(sorted(((r["doc"], r["score"]) for r in got), key=key), expected, strict=True):
+        assert i == j and x == pytest.approx(y, rel=1e-4)
+
+
+def filled(keys, times):
     import pyarrow as pa
 
-    keys = lmscore.mix(np.arange(5000, dtype=np.uint64)) & lmscore.KEY
-    times = np.random.default_rng(2).geometric(0.2, 5000)
-    bits = 5000 * 40 // 8 * 8
-    wide = keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    out = lmscore._fill(bits, unit)((pa.scalar(0),), pa.table({"segment": [0], "keys": pa.array([wide], pa.binary()), "counts": pa.array([times.astype(np.uint32).tobytes()], pa.binary())}))
-    got = lmscore.estimate(keys, np.frombuffer(out.column("bits")[0].as_py(), np.uint8), 1, bits, unit)
-    level = np.floor(np.log2(times / unit)) + 1
-    middle = np.where(level > 0, (3 * unit * 2.0 ** (level - 1) - 1) / 2, 0)
-    assert (got >= middle).all() and np.mean(got == middle) > 0.98
-
-
-def test_the_filters_unit_follows_its_bound(docs, monkeypatch):
-    assert lmscore.unit_for({1: 10.0, 3: 5.0}) == 1
-    monkeypatch.setattr(lmscore, "MAX_BITS", 8 * 11)
-    assert lmscore.unit_for({1: 10.0, 3: 5.0}) == 2
-    monkeypatch.setattr(lmscore, "MAX_BITS", 8 * 5)
-    assert lmscore.unit_for({0: 9.0, 1: 10.0, 3: 5.0}) == 4
-    monkeypatch.setattr(lmscore, "MAX_BITS", 4096)
-    got = lmscore.score(docs, F.lit(True)).collect()
-    assert len(got) == docs.count() and all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    raw = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    out = lmscore._fill((pa.scalar(0),), pa.table({"segment": [0], "keys": pa.array([raw], pa.binary()), "counts": pa.array([times.astype(np.uint32).tobytes()], pa.binary())}))
+    return lmscore.Bloom({0: out.column("bits")[0].as_py()}, 1)
+
+
+def test_filter_keeps_quantised_counts():
+    keys = np.unique(lmscore.mix(np.arange(1, 200_001, dtype=np.uint64)) & lmscore.KEY)
+    there, absent = keys[::2], keys[1::2]
+    times = np.random.default_rng(2).geometric(0.4, len(there))
+    bloom = filled(there, times)
+    level = np.floor(np.log2(times)) + 1
+    got = bloom.levels(there)
+    # Never too low; too high, or there at all by mistake, in less than 1 of 100 cases.
+    assert (got >= level).all() and np.mean(got > level) < 0.01 and np.mean(bloom.levels(absent) > 0) < 0.01
+    assert lmscore.middle(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
+    assert (np.diff(lmscore.segment_of(np.sort(keys), 70_000).astype(np.int64)) >= 0).all() and lmscore.segment_of(keys, 70_000).max() < 70_000
 
 
 def test_a_filter_beyond_the_broadcast_scores_the_same(docs, monkeypatch):
@@ -427,6 +556,31 @@ def test_classifier(spark, docs, none):
     assert classifier.scored(docs, classifier.train(docs, labels2)).count() == docs.count()
 
 
+def test_scores_are_those_of_a_plain_forward_pass(spark):
+    r = random.Random(3)
+    rows_ = [(i, (" ".join(r.choices(["good", "fine", "words", "here"] if i % 2 else ["BAD!!", "###", "x1", "zz"], k=r.randrange(3, 40)))).encode(), i % 2) for i in range(200)]
+    features, net = classifier.fit(rows_)
+    texts = ["", "good fine words", "BAD!! ### unknown", "here here x1"]
+    got = [x["__score"] for x in classifier.scored(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1), (features, net)).orderBy("doc_id").collect()]
+    for text, p in zip(texts, got):
+        words = text.encode().split()
+        x = np.zeros(2 * classifier.DIM + 6)
+        if words:
+            vectors = [np.mean([m[places.get(f(w), len(places))] for w in words], axis=0) for m, places, f in ((features.word_vectors, features.words, lambda w: w), (features.shape_vectors, features.shapes, classifier.shape))]
+            x = np.concatenate([*vectors, [np.linalg.norm(v) for v in vectors], [math.log1p(len(words)), len(set(words)) / len(words), sum(w not in features.words for w in words) / len(words), sum(a == b for a, b in zip(words, words[1:])) / len(words)]])
+        z = np.clip((x.astype(np.float32) - net.mean) / net.sd, -8, 8)
+        hidden = [max(0.0, sum(a * w for a, w in zip(z, net.p[0][:, k])) + net.p[1][k]) for k in range(classifier.HIDDEN)]
+        out = (sum(h * w for h, w in zip(hidden, net.p[2])) + net.p[3][0]) / net.temperature
+        assert p == pytest.approx(1 / (1 + math.exp(-out)), abs=1e-5)
+
+
+def test_the_sample_is_bounded_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "MAX_ROWS", 100)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), "id").alias("text")).union(spark.range(3000).select(F.lit(5).cast("long"), F.lit("hot")))
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    assert 60 < len(classifier.sample(df, labels, "doc_id", "text", "quality", F.lit(True))) < 150
+
+
 def test_a_long_text_leaves_the_sample_to_others(spark, monkeypatch):
     monkeypatch.setattr(classifier, "MAX_CHARS", 1000)
     monkeypatch.setattr(classifier, "LONGEST", 100)
@@ -456,10 +610,33 @@ def test_warc(spark, tmp_path):
         assert r["url"] == (url and url.replace("\r", "%0D").replace("\n", "%0A"))
     order = [(r["url_key"], r["timestamp"]) for r in warc.histories(warc.runs(spark, str(tmp_path / "w"))).collect()]
     assert order == sorted(order)
+    for r in got.values():
+        with open(r["run"].removeprefix("file:"), "rb") as f:
+            f.seek(r["offset"])
+            headers, block = warc.parse(zlib.decompress(f.read(r["length"]), wbits=31))
+        assert headers["warc-record-id"] == f"<urn:page:{r['page_id'] or ''}>" and headers["warc-date"] == r["timestamp"]
+    assert got["5", len("<p>é</p>".encode())]["timestamp"] == "2024-01-01T00:00:05Z"
     warc.write(df.limit(0), str(tmp_path / "e"))
     assert warc.histories(warc.runs(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_files_are_bounded_and_dates_have_no_zone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 30)
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, f"http://h{i % 7}.example/{i}", rng.bytes(300).hex()) for i in range(100)], "page_id long, url string, html string").coalesce(1)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        warc.write(df, str(tmp_path / "w"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 10 and max(sizes) < 3000
+    found = warc.histories(warc.runs(spark, str(tmp_path / "w"))).collect()
+    assert [(r["url_key"], r["timestamp"]) for r in found] == sorted((f"example,h{i % 7})/{i}", f"2024-01-01T00:{i // 60:02}:{i % 60:02}Z") for i in range(100))
+
+
 def test_url_keys():
     assert warc.url_key("http://www.B.example/x?y=1#z") == "example,b,www)/x?y=1"
     assert warc.url_key("https://u:p@a.example:8080") == "example,a:8080)/"
@@ -538,17 +715,87 @@ def test_empty_tables(spark, none, tmp_path):
     assert langid.identified(none.select("text"), None).count() == 0
 
 
+NAMES = "__score __key __size __n __doc __hash __keep __cut __target __lines __mix __row".split()
+
+
 def test_stages_on_edge_rows(spark, docs, none):
+    docs = docs.withColumns({c: F.lit("x") for c in [*NAMES, "a.b"]}).persist()
+    none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         done = stage(spark, docs, SMALL)
         assert done.columns == docs.columns and done.dtypes == docs.dtypes
-        texts = {(r["doc_id"], r["text"]) for r in done.collect()}
+        found = done.collect()
+        assert {tuple(r[c] for c in [*NAMES, "a.b"]) for r in found} == {("x",) * 13}
         if name != "line_dedup":
-            assert texts <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+            assert {(r["doc_id"], r["text"]) for r in found} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
         assert stage(spark, none, SMALL).count() == 0
-    kept = corpus_pipeline.line_dedup(spark, docs, SMALL)
-    assert kept.count() == docs.count()
-    assert {r["n_chars"] for r in kept.filter("doc_id >= 20").collect()} == {len("unique text number 3 of many\n") , len("unique text number 11 of many\n")}
+    kept = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, docs, SMALL).filter("doc_id >= 20").collect()}
+    assert len(kept) == 12 and corpus_pipeline.line_dedup(spark, docs, SMALL).count() == docs.count()
+    # The footer stays in the first document that has it, once.
+    assert kept[20]["text"] == "shared footer line\nunique text number 0 of many\n" and kept[21]["text"] == "unique text number 1 of many\n"
+    assert {r["n_chars"] for i, r in kept.items() if i > 20} == {len("unique text number 3 of many\n"), len("unique text number 11 of many\n")}
+    docs.unpersist()
+
+
+def test_stages_and_operators_keep_text_ids(spark, docs):
+    df = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, df, SMALL) if name != "quality" else classifier.scored(df, None).drop("__score")
+        assert done.dtypes == df.dtypes and done.filter("doc_id = 'doc-25'").count() >= (name != "mix")
+    plain = {r["doc"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
+    text = {r["doc"]: r["component"] for r in simhash.near_duplicates(df).collect()}
+    assert text.keys() == {None if i is None else f"doc-{i}" for i in plain}
+    assert {(plain[i] == i) for i in plain if i == 0} == {text["doc-0"] == "doc-0"}
+    assert {r["doc"] for r in lmscore.score(df, F.lit(True)).collect()} == text.keys()
+    documents, _ = decontam.search(df, spark.createDataFrame([("x", "one two")], "item_id string, text string"))
+    assert {r["doc"] for r in documents.collect()} == text.keys()
+
+
+def test_rows_that_repeat_id_and_text_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "same text", "b"), (1, "same text", "a"), (1, "same text", None), (2, "same text", "a"), (3, "other", "z")], "doc_id long, text string, source string")
+    kept = [sorted(map(repr, rows(simhash.representatives(df.repartition(n))))) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
+def test_queries_keep_their_contracts(spark):
+    q = lambda n: registry.QUERIES[n](spark, SMALL).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = q("op1_simhash")
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
+    ids = sorted(texts)
+    label = brute_classes([prints[i] for i in ids], 2)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: ids[k] for i, k in zip(ids, label)}
+    got = q("op3_language_id")
+    assert len(got) == len(texts) and all(r["held_out"] == (fold(r["doc_id"], 4) == 2) and 0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "fr", "es", "und") for r in got)
+    got = q("op5_quality_classifier")
+    assert len(got) == len(texts) and all(r["held_out"] == (fold(r["doc_id"], 5) == 0) and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    got = q("op7_lm_score")
+    counts = Counter(w for i, t in texts.items() if fold(i, 7) != 2 for w in lmscore.tokens((t or "").encode()))
+    n, v = sum(counts.values()), len(counts)
+    assert len(got) == len(texts)
+    for r in got:
+        w = lmscore.tokens((texts[r["doc_id"]] or "").encode())
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (fold(r["doc_id"], 7) == 2, len(w), sum(x in counts for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in w), rel=1e-9) and r["score"] < 0
+
+
+def brute_first_lines(source, min_docs, passage_docs):
+    """Texts without the later occurrences of lines in min_docs documents, passage_docs for lines of over 50 words."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    docs_of, seen, out = {}, set(), {}
+    for i, t in source:
+        for x in t.split("\n"):
+            docs_of.setdefault(key(x), set()).add(i)
+    for i, t in sorted(source):
+        lines = []
+        for x in t.split("\n"):
+            k = key(x)
+            if not k or k not in seen or len(docs_of[k]) < (passage_docs if len(k.encode().split()) > 50 else min_docs):
+                lines.append(x)
+            seen.add(k)
+        out[i] = "\n".join(lines)
+    return out
 
 
 def test_pipeline(spark, tmp_path):
@@ -563,13 +810,11 @@ def test_pipeline(spark, tmp_path):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     kept = {r["doc_id"] for r in quality}
     assert np.mean([i in kept for i, q in labels.items() if q == 1]) > 0.97 and np.mean([i in kept for i, q in labels.items() if q == 0]) < 0.3
-    expected = {i: t for i, _, _, t in brute_lines([(r["doc_id"], r["text"]) for r in quality], 10)}
+    expected = brute_first_lines([(r["doc_id"], r["text"]) for r in quality], 10, 2)
     assert {r["doc_id"]: r["text"] for r in lines} == expected and all(r["n_chars"] == len(r["text"]) for r in lines)
-    label = brute_classes([brute_fingerprint(r["text"]) for r in lines], 2)
-    first = {}
-    for r, k in zip(lines, label):
-        first[k] = min(first.get(k, r["doc_id"]), r["doc_id"])
-    assert {r["doc_id"] for r in near_} == set(first.values()) and len(near_) == len(first)
+    lines = sorted(lines, key=lambda r: r["doc_id"])
+    label = brute_similar([r["text"] for r in lines])
+    assert sorted(r["doc_id"] for r in near_) == [lines[k]["doc_id"] for k in sorted(set(label))] and len(near_) < len(lines)
     items = [(r["item_id"], decontam.tokens(r["text"].encode())) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     windows = {b" ".join(w[k : k + min(10, len(w))]) for _, w in items for k in range(len(w) - min(10, len(w)) + 1)}
     dirty = {r["doc_id"] for r in near_ if any(f" {x.decode()} " in f" {b' '.join(decontam.tokens(r['text'].encode())).decode()} " for x in windows)}
