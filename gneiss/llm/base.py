@@ -67,9 +67,15 @@ def fold(col: Column, n: int) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute once, into the shared folder: later reads neither repeat the work nor depend on an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute once, into the shared folder: later reads neither repeat the work nor depend on an executor.
+
+    A checkpoint keeps the size that was estimated for its plan.  As a join's estimate is the product of its sides', it would have
+    more and more digits in loops over joins, up to gigabytes of them; so the result forgets it.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 #: Rows of a table that may be broadcast, the bytes of its texts and binaries, and rows of a shuffle's partition that may be hashed in memory.
