@@ -8,8 +8,9 @@ BANDS keys of ROWS of them each; sets that share a key are candidates.  Every ca
 no link is wrong.  A pair just at 0.8 shares no key with probability (1 - 0.8^4)^32 = 5e-8, a more similar one with less.
 
 A key that very many sets hold isn't compared pair by pair at once.  The first LEADERS rounds compare its sets with one leader of the key,
-another in each; only pairs in different classes are left open.  Further rounds take blocks of the sets, by a hash, as queries
-against all with their keys, each as many as FEW pairs for every distinct set allow, until no pair is open or each set has been a query.
+another in each; only pairs in different classes are left open.  If these are few they are joined with the texts.  If not, their sets are much
+like each other but not enough; then blocks of them, of about BLOCK_CHARS characters, are broadcast one after the other as inverted
+indexes of shingles.  Each set counts the shingles it shares with all of a block, and at most one link to each other class comes out.
 
 Defined results: texts are split at ASCII white space with A-Z lower-cased; a text of fewer words than ``width`` is one shingle; null texts, empty ones and
 those of white space have the empty set and are copies of each other; very long texts are compared whole; repeated rows are copies; of ties
@@ -33,8 +34,10 @@ from gneiss.llm.components import components
 SIMILAR = (4, 5)
 #: Bits by which fingerprints of first candidates differ; keys per set, minimum hashes per key, and shingles that are hashed at once.
 BITS, BANDS, ROWS, CHUNK = 2, 32, 4, 1 << 11
-#: Rounds with one leader for each key; pairs per distinct set that a later round compares, and as many in any case.
-LEADERS, FEW, LEAST = 4, 4, 1 << 17
+#: Rounds with one leader for each key; open pairs per distinct set that are joined, and as many in any case.
+LEADERS, FEW, LEAST = 4, 0.5, 1 << 15
+#: Characters of the texts of a block.
+BLOCK_CHARS = 1 << 23
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,6 +104,43 @@ def _sets(width: int):
     return run
 
 
+def block_index(rows: list[tuple], width: int) -> tuple:
+    """Of some (fp, root, text): arrays of fps, roots and sizes, and the sorted shingles with their owners."""
+    sets = [shingles(t.encode(), width) for *_, t in rows]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    flat, owner = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(flat, kind="stable")
+    keys, starts = np.unique(flat[order], return_index=True)
+    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), sizes, keys, np.append(starts, len(flat)), owner[order]
+
+
+def linked_in_block(set_: np.ndarray, fp: int, root: int, index: tuple) -> np.ndarray:
+    """Sets of a block that are similar to a set of another class and have a larger fp; one of each class."""
+    fps, roots, sizes, keys, starts, owner = index
+    at = np.minimum(np.searchsorted(keys, set_), len(keys) - 1)
+    at = at[keys[at] == set_]
+    both = np.zeros(len(fps), dtype=np.int64)
+    for k in at.tolist():
+        # Each owner is there once.
+        both[owner[starts[k] : starts[k + 1]]] += 1
+    good = np.flatnonzero((SIMILAR[1] * both >= SIMILAR[0] * (len(set_) + sizes - both)) & (roots != root) & (fps > fp))
+    return fps[good[np.unique(roots[good], return_index=True)[1]]]
+
+
+def _block_links(width: int, index):
+    """(a, b): links of texts' sets with those of a block."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in kernels.slices(whole, 64):
+                fps, roots = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                found = [linked_in_block(shingles(t, width), fp, root, index.value) for fp, root, t in zip(fps, roots, kernels.texts(batch.column(2)))]
+                a = np.repeat(np.array(fps, dtype=np.int64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["a", "b"])
+
+    return run
+
+
 def _verify(width: int):
     """(a, b) of the pairs whose texts are similar."""
 
@@ -133,10 +173,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = base.checkpoint(source.mapInArrow(_sets(width), f"doc {base.kind(docs, id_col)}, text_hash long, fp long, n long, sim long, bands array<long>"))
     # One row stands for all that have its set.
     distinct = base.checkpoint(rows.groupBy("fp").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min(F.struct("text_hash", "doc")).alias("at"), F.min("bands").alias("bands")))
-    keyed = distinct.select("fp", "n", F.explode("bands").alias("band"))
-    # A table of its own, so that a key with very many sets can be split in the join.
-    shared = base.checkpoint(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("band"))
-    members = base.checkpoint(keyed.join(shared, "band").select("band", "fp", "n"))
+
+    def shared(keyed: DataFrame) -> DataFrame:
+        # A table of its own, so that a key with very many sets can be split in the join.
+        bands = base.checkpoint(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("band"))
+        return base.checkpoint(keyed.join(bands, "band").select("band", "fp", "n"))
+
+    members = shared(distinct.select("fp", "n", F.explode("bands").alias("band")))
     wanted = members.select("fp").distinct().join(distinct, "fp").select("fp", F.col("at.doc").alias("d"), F.col("at.text_hash").alias("h"))
     found = source.join(base.sized(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc").eqNullSafe(F.col("d")))
     # Rows may repeat an id and a text.
@@ -148,31 +191,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(texts.toDF("b", "other"), "b").join(texts.toDF("a", "text"), "a")
         return base.checkpoint(both.select("a", "b", "text", "other").mapInArrow(_verify(width), "a long, b long"))
 
+    def by_blocks(fps: DataFrame) -> DataFrame:
+        """Links between the classes of these (fp, root)."""
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        some = base.checkpoint(texts.join(fps.distinct(), "fp").select("fp", "root", "text").repartition(parts, "fp"))
+        blocks = max(1, -(-some.select(F.sum(F.length("text"))).first()[0] // BLOCK_CHARS))
+        found = None
+        for block in range(blocks):
+            # About BLOCK_CHARS characters.
+            part = some.filter(F.pmod(F.xxhash64(F.lit("block"), "fp"), F.lit(blocks)) == block).collect()
+            if part:
+                index = docs.sparkSession.sparkContext.broadcast(block_index([tuple(r) for r in part], width))
+                new = some.mapInArrow(_block_links(width, index), "a long, b long")
+                found = new if found is None else found.unionByName(new)
+        return base.checkpoint(found)
+
     prints = base.checkpoint(distinct.filter("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")))
     near = simhash.tree_links(prints.select(F.col("sim").alias("fp")), BITS)
     near = near.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = distinct.join(prints, "sim").filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
     first, edges, linked = near.unionByName(equal), None, None
-    upto, share = 0.0, F.shiftrightunsigned(F.xxhash64(F.lit("block"), "fp"), 1) / float(1 << 63)
     for step in count():
         now = members.withColumn("root", F.col("fp")) if linked is None else base.checkpoint(members.join(linked.toDF("fp", "r"), "fp", "left").select("band", "fp", "n", F.coalesce("r", "fp").alias("root")))
         sizes = now.groupBy("band", "root").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("band").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
         open_ = base.checkpoint(sizes.filter("open > 0"))
         left = open_.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        if linked is not None and (not left or upto >= 1):
+        if linked is not None and not left:
             break
-        now = now.join(open_.select("band"), "band")
-        if step < LEADERS and left > few:
-            queries = now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "fp").alias("h"), "fp", "n", "root")).alias("x")).select("band", "x.fp", "x.n", "x.root")
+        now, last = now.join(open_.select("band"), "band"), left <= few or step >= LEADERS
+        if left <= few or step < LEADERS:
+            queries = now if left <= few else now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "fp").alias("h"), "fp", "n", "root")).alias("x")).select("band", "x.fp", "x.n", "x.root")
+            queries = base.checkpoint(queries.toDF("band", "fp2", "n2", "root2"))
+            pairs = now.join(queries, "band").filter((F.col("root") != F.col("root2")) & _sized("n", "n2"))
+            pairs = pairs.select(F.col("fp2").alias("a"), F.col("fp").alias("b"))
+            new = links(pairs if edges else pairs.unionByName(first))
         else:
-            since, upto = upto, 1.0 if left <= few else upto + few / (2 * left)
-            queries = now.filter((share >= since) & (share < upto)) if upto < 1 else now.filter(share >= since)
-        queries = base.checkpoint(queries.toDF("band", "fp2", "n2", "root2"))
-        pairs = now.join(queries, "band").filter((F.col("root") != F.col("root2")) & _sized("n", "n2"))
-        pairs = pairs.select(F.col("fp2").alias("a"), F.col("fp").alias("b"))
-        new = links(pairs if edges else pairs.unionByName(first))
+            new = by_blocks(now.select("fp", "root"))
         edges = edges.unionByName(new) if edges else new
         linked = components(edges).select("node", "root")
+        if last:
+            break
     linked = linked.withColumnRenamed("node", "fp")
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(least, "root").select("fp", "root", "component")

@@ -152,9 +152,10 @@ def brute_similar(texts):
     return label
 
 
-@pytest.mark.parametrize(("leaders", "least"), [(4, 1 << 17), (1, 2500)])
+@pytest.mark.parametrize(("leaders", "least"), [(4, 1 << 17), (1, 300)])
 def test_near_dedup_stage_is_by_similarity(spark, docs, monkeypatch, leaders, least):
     monkeypatch.setattr(jaccard, "LEAST", least)
+    monkeypatch.setattr(jaccard, "BLOCK_CHARS", 100 * least)
     monkeypatch.setattr(jaccard, "LEADERS", leaders)
     r = random.Random(8)
     data = [(i, x["text"]) for i, x in enumerate(docs.collect())]
