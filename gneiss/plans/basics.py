@@ -51,9 +51,9 @@ _filter("filter_le", "lineitem", "l_orderkey, l_linenumber", lambda: P.compare(_
 _filter("filter_gt", "orders", "o_orderkey", lambda: P.compare(_c("o_totalprice"), ">", 300000.0), "o_totalprice > 300000")
 _filter("filter_ge", "orders", "o_orderkey", lambda: _c("o_orderdate") >= F.lit(dt.datetime(1997, 1, 1)).cast("timestamp_ntz"), "o_orderdate >= TIMESTAMP '1997-01-01 00:00:00'")
 _filter("filter_column_pair", "lineitem", "l_orderkey, l_linenumber", lambda: _c("l_tax") > _c("l_discount"), "l_tax > l_discount")
-for _name, _pattern in (("contains", "%th%"), ("prefix", "th%"), ("suffix", "%s"), ("general", "%a%e%s%"), ("single", "_h%e_"), ("equal", "part")):
+for _name, _pattern in (("contains", "%in%"), ("prefix", "red%"), ("suffix", "%ring"), ("general", "%a%e%t"), ("single", "_ed%"), ("equal", "small ring")):
     _filter(f"like_{_name}", "part", "p_partkey, p_name", lambda p=_pattern: P.like(_c("p_name"), p), f"p_name LIKE '{_pattern}'")
-_filter("like_escape", "pages", "page_id", lambda: P.like(_c("url"), r"%\%%"), r"url LIKE '%\%%' ESCAPE '\'")
+_filter("like_escape", "pages", "page_id", lambda: P.like(F.translate("url", "/e", "%_"), r"%\%\_n\%%"), r"translate(url, '/e', '%_') LIKE '%\%\_n\%%' ESCAPE '\'")
 _filter("like_url", "pages", "page_id", lambda: P.like(_c("url"), "https://%/en/%"), "url LIKE 'https://%/en/%'")
 _filter("like_long_text", "documents", "doc_id", lambda: P.like(_c("text"), "%a%e%z%"), "text LIKE '%a%e%z%'")
 _filter("not_like", "pages", "page_id", lambda: P.not_like(_c("url"), "%.net/%"), "url NOT LIKE '%.net/%'")

@@ -2,7 +2,7 @@
 
     python -m gneiss.runner run TABLE OUT_DIR [NUMBER ...]
     python -m gneiss.runner explain [NUMBER ...]
-    python -m gneiss.runner convert CSV TABLE [SCHEMA_FILE]
+    python -m gneiss.runner convert CSV [TABLE [SCHEMA_FILE]]
     python -m gneiss.runner export TABLE CSV_DIR
 """
 
@@ -72,7 +72,7 @@ def run(spark: SparkSession, table: str, out_dir: str, numbers: list[int] | None
         try:
             result = query(df)
             rows = result.collect() if n not in (20,) else None
-            row["query_ms"] = round(1000 * (time.monotonic() - began))
+            row["query_ms"] = round(1000 * (time.monotonic() - began), 3)
             path, wrote = os.path.join(out_dir, row["file"]), time.monotonic()
             if rows is None:  # the one result without a bound
                 row["rows"] = csvfiles.write_csv_file(result, path)
@@ -80,11 +80,11 @@ def run(spark: SparkSession, table: str, out_dir: str, numbers: list[int] | None
                 row["rows"] = len(rows)
                 with open(path, "w", encoding="utf-8", newline="") as f:
                     f.writelines(csvfiles.csv_lines(result.columns, rows))
-            row["write_ms"] = round(1000 * (time.monotonic() - wrote))
+            row["write_ms"] = round(1000 * (time.monotonic() - wrote), 3)
             row["read_ms"] = read_ms(result)
         except Exception as e:
-            row |= {"status": "failed", "file": "", "error": str(e).splitlines()[0][:300]}
-        row["total_ms"] = round(1000 * (time.monotonic() - began))
+            row |= {"status": "error", "file": "", "error": (str(e).splitlines() or [type(e).__name__])[0][:300]}
+        row["total_ms"] = round(1000 * (time.monotonic() - began), 3)
         summary.append(row)
     with open(os.path.join(out_dir, "summary.csv"), "w", encoding="utf-8", newline="") as f:
         writer = csv.DictWriter(f, SUMMARY, lineterminator="\n")
@@ -104,12 +104,20 @@ def explain(spark: SparkSession, table: str | None = None, numbers: list[int] |
     return out
 
 
-def convert(spark: SparkSession, source: str, target: str, schema_file: str | None = None) -> dict:
-    """CSV to Parquet, by a schema file or as hits; what was read and written."""
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes under a path, in whatever store holds it; 0 if there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.getContentSummary(p).getLength() if store.exists(p) else 0
+
+
+def convert(spark: SparkSession, source: str, target: str | None = None, schema_file: str | None = None, multi_line: bool = True) -> dict:
+    """CSV to Parquet, by a schema file or as hits, by default beside the source; what was read and written.
+    multi_line: cells may hold line breaks, so a file is read by one task."""
+    target = target or os.path.splitext(source.rstrip("/"))[0] + ".parquet"
     began = time.monotonic()
-    csvfiles.csv_to_table(spark, source, schema.load_schema(spark, schema_file) if schema_file else schema.hits_schema(), target)
-    size = lambda p: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(p) for f in fs) if os.path.isdir(p) else os.path.getsize(p) if os.path.exists(p) else 0
-    return {"status": "ok", "input_bytes": size(source), "output_bytes": size(target), "total_ms": round(1000 * (time.monotonic() - began)), "file": target}
+    csvfiles.csv_to_table(spark, source, schema.load_schema(spark, schema_file) if schema_file else schema.hits_schema(), target, multi_line=multi_line)
+    return {"status": "ok", "input_bytes": size_of(spark, source), "output_bytes": size_of(spark, target), "total_ms": round(1000 * (time.monotonic() - began), 3), "file": target}
 
 
 def main(args: list[str]) -> int:

@@ -102,8 +102,8 @@ def write_csv_file(df: DataFrame, path: str, header: bool = True, sep: str = ","
     return n
 
 
-def csv_to_table(spark: SparkSession, source: str, schema: T.StructType, target: str, sep: str = ",") -> None:
-    read_csv(spark, source, schema, sep).write.parquet(target)
+def csv_to_table(spark: SparkSession, source: str, schema: T.StructType, target: str, sep: str = ",", multi_line: bool = True) -> None:
+    read_csv(spark, source, schema, sep, multi_line).write.parquet(target)
 
 
 def table_to_csv(spark: SparkSession, source: str, target: str, header: bool = False) -> None:

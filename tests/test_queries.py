@@ -39,3 +39,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThan(o_totalprice,300000.0)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
     assert "ReadSchema: struct<>" in registry.queries()["op_count_star"](spark, SMALL)._jdf.queryExecution().toString()
+
+
+def test_operator_queries_compare_some_rows(spark):
+    from gneiss.plans import basics
+
+    for name, query in basics.registered().items():
+        if name != "op_limit_zero":
+            assert query(spark, "/root/testdata/sf0.01").limit(1).count(), name
