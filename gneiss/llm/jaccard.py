@@ -7,9 +7,9 @@ fingerprint lies at the boundary of every node, and no tree prunes anything.  So
 BANDS keys of ROWS of them each; sets that share a key are candidates.  Every candidate is verified on the whole sets, so
 no link is wrong.  A pair just at 0.8 shares no key with probability (1 - 0.8^4)^32 = 5e-8, a more similar one with less.
 
-A key that very many sets hold isn't compared pair by pair at once.  The first LEADERS rounds compare its sets with one leader of the key,
-another in each; only pairs in different classes are left open.  If these are few they are joined with the texts.  If not, their sets are much
-like each other but not enough; then blocks of them, of about BLOCK_CHARS characters, are broadcast one after the other as inverted
+The sets of a key are first compared with one of them, its leader; then only pairs in different classes are open.  Those of keys with
+JOINED open pairs or fewer are joined with the texts, so that work grows with the sets.  Sets of keys with more are much like each other but not enough;
+blocks of them, of about BLOCK_CHARS characters, are broadcast one after the other as inverted
 indexes of shingles.  Each set counts the shingles it shares with all of a block, and at most one link to each other class comes out.
 
 Defined results: texts are split at ASCII white space with A-Z lower-cased; a text of fewer words than ``width`` is one shingle; null texts, empty ones and
@@ -19,8 +19,6 @@ the smallest id and hash count; an empty table gives an empty result.  Ids keep
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,8 +32,8 @@ from gneiss.llm.components import components
 SIMILAR = (4, 5)
 #: Bits by which fingerprints of first candidates differ; keys per set, minimum hashes per key, and shingles that are hashed at once.
 BITS, BANDS, ROWS, CHUNK = 2, 32, 4, 1 << 11
-#: Rounds with one leader for each key; open pairs per distinct set that are joined, and as many in any case.
-LEADERS, FEW, LEAST = 4, 0.5, 1 << 15
+#: Open pairs of a key that are joined.
+JOINED = 32
 #: Characters of the texts of a block.
 BLOCK_CHARS = 1 << 23
 
@@ -174,20 +172,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row stands for all that have its set.
     distinct = base.checkpoint(rows.groupBy("fp").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.min("sim").alias("sim"), F.min(F.struct("text_hash", "doc")).alias("at"), F.min("bands").alias("bands")))
 
-    def shared(keyed: DataFrame) -> DataFrame:
-        # A table of its own, so that a key with very many sets can be split in the join.
-        bands = base.checkpoint(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("band"))
-        return base.checkpoint(keyed.join(bands, "band").select("band", "fp", "n"))
-
-    members = shared(distinct.select("fp", "n", F.explode("bands").alias("band")))
+    # Each key of two sets or more, with its leader; a table of its own, so that a key with very many sets can be split in the joins.
+    keyed = distinct.select("fp", "n", F.explode("bands").alias("band"))
+    leaders = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("fp", "n")).alias("x")).filter("sets > 1")
+    leaders = base.checkpoint(leaders.select("band", F.col("x.fp").alias("lead"), F.col("x.n").alias("m")))
+    members = base.checkpoint(keyed.join(leaders, "band"))
     wanted = members.select("fp").distinct().join(distinct, "fp").select("fp", F.col("at.doc").alias("d"), F.col("at.text_hash").alias("h"))
     found = source.join(base.sized(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc").eqNullSafe(F.col("d")))
     # Rows may repeat an id and a text.
     texts = base.checkpoint(found.groupBy("fp").agg(F.min("text").alias("text")))
-    few = max(LEAST, FEW * distinct.count())
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = base.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = pairs.join(texts.toDF("b", "other"), "b").join(texts.toDF("a", "text"), "a")
         return base.checkpoint(both.select("a", "b", "text", "other").mapInArrow(_verify(width), "a long, b long"))
 
@@ -195,42 +191,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Links between the classes of these (fp, root)."""
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         some = base.checkpoint(texts.join(fps.distinct(), "fp").select("fp", "root", "text").repartition(parts, "fp"))
-        blocks = max(1, -(-some.select(F.sum(F.length("text"))).first()[0] // BLOCK_CHARS))
-        found = None
+        size = some.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        blocks, found = max(1, -(-size // BLOCK_CHARS)), some.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
         for block in range(blocks):
             # About BLOCK_CHARS characters.
             part = some.filter(F.pmod(F.xxhash64(F.lit("block"), "fp"), F.lit(blocks)) == block).collect()
             if part:
                 index = docs.sparkSession.sparkContext.broadcast(block_index([tuple(r) for r in part], width))
                 new = some.mapInArrow(_block_links(width, index), "a long, b long")
-                found = new if found is None else found.unionByName(new)
+                found = found.unionByName(new)
         return base.checkpoint(found)
 
     prints = base.checkpoint(distinct.filter("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")))
     near = simhash.tree_links(prints.select(F.col("sim").alias("fp")), BITS)
     near = near.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = distinct.join(prints, "sim").filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
-    first, edges, linked = near.unionByName(equal), None, None
-    for step in count():
-        now = members.withColumn("root", F.col("fp")) if linked is None else base.checkpoint(members.join(linked.toDF("fp", "r"), "fp", "left").select("band", "fp", "n", F.coalesce("r", "fp").alias("root")))
-        sizes = now.groupBy("band", "root").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("band").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
-        open_ = base.checkpoint(sizes.filter("open > 0"))
-        left = open_.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        if linked is not None and not left:
-            break
-        now, last = now.join(open_.select("band"), "band"), left <= few or step >= LEADERS
-        if left <= few or step < LEADERS:
-            queries = now if left <= few else now.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "fp").alias("h"), "fp", "n", "root")).alias("x")).select("band", "x.fp", "x.n", "x.root")
-            queries = base.checkpoint(queries.toDF("band", "fp2", "n2", "root2"))
-            pairs = now.join(queries, "band").filter((F.col("root") != F.col("root2")) & _sized("n", "n2"))
-            pairs = pairs.select(F.col("fp2").alias("a"), F.col("fp").alias("b"))
-            new = links(pairs if edges else pairs.unionByName(first))
-        else:
-            new = by_blocks(now.select("fp", "root"))
-        edges = edges.unionByName(new) if edges else new
-        linked = components(edges).select("node", "root")
-        if last:
-            break
+    starred = members.filter((F.col("fp") != F.col("lead")) & _sized("n", "m")).select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    linked = components(links(starred.unionByName(near).unionByName(equal)))
+    now = base.checkpoint(members.join(linked.toDF("fp", "r"), "fp", "left").select("band", "fp", "n", F.coalesce("r", "fp").alias("root")))
+    classes = now.groupBy("band", "root").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    # The pairs of each key that are in different classes.
+    keys = classes.groupBy("band").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
+    keys = base.checkpoint(keys.filter("open > 0"))
+    some = now.join(keys.filter(F.col("open") <= JOINED).select("band"), "band")
+    pairs = some.join(some.toDF("band", "fp2", "n2", "root2"), "band").filter((F.col("root") < F.col("root2")) & _sized("n", "n2"))
+    new = links(pairs.select(F.col("fp2").alias("a"), F.col("fp").alias("b")))
+    crowded = by_blocks(now.join(keys.filter(F.col("open") > JOINED).select("band"), "band").select("fp", "root"))
+    linked = components(linked.toDF("a", "b").unionByName(new).unionByName(crowded))
     linked = linked.withColumnRenamed("node", "fp")
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(least, "root").select("fp", "root", "component")

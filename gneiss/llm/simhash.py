@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import base, kernels
-from gneiss.llm.components import components
+from gneiss.llm.components import components, merge
 
 #: Fingerprints that a shard is meant to be home of, sampled fingerprints per shard, and the most shards.
 SHARD, SAMPLE, MAX_SHARDS = 8192, 16, 1 << 16
@@ -102,17 +102,6 @@ def descend(tree, prints: np.ndarray, home: np.ndarray, bits: int, path: int = 1
         todo.append((outside, 2 * path + 1, at[outer], (home & (d > radius))[outer]))
 
 
-def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """label: the smallest index linked with each index, updated by the links (a, b)."""
-    while len(a):
-        x, y = label[a], label[b]
-        differ = x != y
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(shorter := label[label], label):
-            label[:] = shorter
-
-
 def compare(prints: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     """Labels of a leaf: all its fingerprints against those at home."""
     label = np.arange(len(prints))

@@ -114,7 +114,10 @@ def test_trees_find_all_classes(n, crowd, monkeypatch):
     assert simhash.flips(prints, np.arange(len(prints)), 2, np.arange(len(prints))).tolist() == label.tolist()
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("slab", "solo"), [(1 << 20, 1 << 21), (7, 1 << 21), (7, 0)])
+def test_components(spark, monkeypatch, slab, solo):
+    monkeypatch.setattr(components, "SLAB", slab)
+    monkeypatch.setattr(components, "SOLO", solo)
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 160)] + [(5, 5)]
     parent = {}
@@ -124,6 +127,7 @@ def test_components(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     assert dict(rows(components.components(spark.createDataFrame(edges, "a long, b long")))) == {x: find(x) for x in parent}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_representatives(docs):
@@ -152,11 +156,10 @@ def brute_similar(texts):
     return label
 
 
-@pytest.mark.parametrize(("leaders", "least"), [(4, 1 << 17), (1, 300)])
-def test_near_dedup_stage_is_by_similarity(spark, docs, monkeypatch, leaders, least):
-    monkeypatch.setattr(jaccard, "LEAST", least)
-    monkeypatch.setattr(jaccard, "BLOCK_CHARS", 100 * least)
-    monkeypatch.setattr(jaccard, "LEADERS", leaders)
+@pytest.mark.parametrize(("joined", "block"), [(1 << 17, 1 << 23), (0, 30_000), (3, 30_000)])
+def test_near_dedup_stage_is_by_similarity(spark, docs, monkeypatch, joined, block):
+    monkeypatch.setattr(jaccard, "JOINED", joined)
+    monkeypatch.setattr(jaccard, "BLOCK_CHARS", block)
     r = random.Random(8)
     data = [(i, x["text"]) for i, x in enumerate(docs.collect())]
     # Groups whose members differ from one text in some words, so that many are similar to it or by way of others only.
