@@ -77,8 +77,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = base.checkpoint(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         return keep(pairs.join(least, "a"))
 
-    kept = edges.filter("a <> b").select("a", "b")
-    now = base.checkpoint(kept.mapInArrow(_forests(SLAB), "a long, b long").distinct())
+    # The shuffle keeps the workers of what made the links out of the tasks that merge them.
+    kept = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = base.checkpoint(kept.mapInArrow(_forests(SLAB), "a long, b long"))
     if now.count() <= SOLO:
         return base.checkpoint(now.coalesce(1).mapInArrow(_all_roots, "node long, root long"))
     mark = None
