@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,36 @@ def where(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(condition)
 
 
-def global_agg(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
+#: An aggregate without a place in a dict: its function, its argument (a column's name, an expression, None for none) and perhaps its name.
+Call = tuple[Callable[..., Column], str | Column | None] | tuple[Callable[..., Column], str | Column | None, str | None]
+
+
+def _keys(keys: dict[str, Column] | Sequence[str | Column]) -> list[Column]:
+    """Group keys under their names; of those in a list a plain column keeps its own, and an expression is group_ and its place from 0."""
+    if isinstance(keys, dict):
+        return [k.alias(n) for n, k in keys.items()]
+    return [F.col(k).alias(k) if isinstance(k, str) else k.alias(f"group_{i}") for i, k in enumerate(keys)]
+
+
+def _aggs(aggs: dict[str, Column] | Sequence[Call]) -> list[Column]:
+    """Aggregates under their names; of those in a list one without has its plain column's, and else aggregation_ and its place from 0."""
+    if isinstance(aggs, dict):
+        return [a.alias(n) for n, a in aggs.items()]
+    out = []
+    for i, (function, argument, *name) in enumerate(aggs):
+        plain = isinstance(argument, str)
+        value = function() if argument is None else function(F.col(argument) if plain else argument)
+        out.append(value.alias(next(filter(None, name), None) or (argument if plain else f"aggregation_{i}")))
+    return out
+
+
+def global_agg(df: DataFrame, aggs: dict[str, Column] | Sequence[Call]) -> DataFrame:
     """One row, also for no input."""
-    return df.agg(*(a.alias(n) for n, a in aggs.items()))
+    return df.agg(*_aggs(aggs))
 
 
-def group_agg(df: DataFrame, keys: dict[str, Column], aggs: dict[str, Column]) -> DataFrame:
-    return df.groupBy(*(k.alias(n) for n, k in keys.items())).agg(*(a.alias(n) for n, a in aggs.items()))
+def group_agg(df: DataFrame, keys: dict[str, Column] | Sequence[str | Column], aggs: dict[str, Column] | Sequence[Call]) -> DataFrame:
+    return df.groupBy(*_keys(keys)).agg(*_aggs(aggs))
 
 
 def top_k(df: DataFrame, order: list[Column], n: int | None = None, offset: int = 0) -> DataFrame:

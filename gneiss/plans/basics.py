@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss import session
 from gneiss.functions import aggs as A
 from gneiss.functions import exprs as E
 from gneiss.functions import preds as P
@@ -42,6 +43,31 @@ _add("count_star", "SELECT count(*) AS n FROM lineitem")(lambda t: ops.global_ag
 _add("rename", "SELECT o_custkey AS customer, o_orderkey FROM orders")(lambda t: ops.project(t("orders"), ["o_custkey", "o_orderkey"], ["customer", None]))
 _add("csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_size FROM part")(lambda t: csvfiles.round_trip(t("part").select("p_partkey", "p_name", "p_brand", "p_size")))
 _add("csv_quoting", "SELECT conv_id, turn, role, text FROM conversations")(lambda t: csvfiles.round_trip(t("conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
+_add("csv_typed", "SELECT o_orderkey, o_totalprice, o_orderdate, CAST(o_orderdate AS DATE) AS day FROM orders")(
+    lambda t: csvfiles.round_trip(t("orders").select("o_orderkey", "o_totalprice", "o_orderdate", F.col("o_orderdate").cast("date").alias("day")))
+)
+
+
+@_add("table_write", "SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem")
+def _table_write(t):
+    path = session.scratch(t.spark, "table")
+    tables.write_table(t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice"), path)
+    return tables.read_table(t.spark, path)
+
+
+@_add("csv_conversions", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _csv_conversions(t):
+    """Table to CSV, CSV to table: both conversions."""
+    df, path = t("customer").select("c_custkey", "c_name", "c_acctbal"), session.scratch(t.spark, "convert")
+    tables.write_table(df, f"{path}/from")
+    csvfiles.table_to_csv(t.spark, f"{path}/from", f"{path}/csv")
+    csvfiles.csv_to_table(t.spark, f"{path}/csv", df.schema, f"{path}/to", multi_line=False)
+    return tables.read_table(t.spark, f"{path}/to")
+
+
+_add("default_names", "SELECT l_returnflag, l_linenumber % 2 AS group_1, count(*) AS aggregation_0, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber, max(l_orderkey) AS top FROM lineitem GROUP BY 1, 2")(
+    lambda t: ops.group_agg(t("lineitem"), ["l_returnflag", _c("l_linenumber") % 2], [(A.count_all, None), (A.sum0, "l_linenumber"), (A.max_, "l_orderkey", "top")])
+)
 
 # Predicates.
 _filter("filter_eq", "orders", "o_orderkey, o_custkey", lambda: _c("o_orderstatus") == "F", "o_orderstatus = 'F'")

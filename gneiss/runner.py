@@ -1,6 +1,7 @@
 """Command line: run the queries over a table, show what they scan, import and export CSV.
 
     python -m gneiss.runner run TABLE OUT_DIR [NUMBER ...]
+    python -m gneiss.runner one INDEX TABLE OUTPUT_CSV LOG_FILE
     python -m gneiss.runner explain [NUMBER ...]
     python -m gneiss.runner convert CSV [TABLE [SCHEMA_FILE]]
     python -m gneiss.runner export TABLE CSV_DIR
@@ -10,7 +11,9 @@ from __future__ import annotations
 
 import csv
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ from gneiss.plans import hits
 from gneiss.sources import csvfiles
 
 SUMMARY = ["query", "status", "rows", "query_ms", "write_ms", "total_ms", "file", "read_ms", "error"]
+#: The columns of the summary that single runs append to (fixed values).
+SINGLE = ["query_index", "clickbench_query", "status", "runner_exit_code", "rows", "query_ms", "read_ms", "write_ms", "runner_total_ms", "wall_ms", "output_bytes", "output", "log", "error"]
 
 
 def scanned(df: DataFrame) -> tuple[str, list[str]]:
@@ -93,6 +98,45 @@ def run(spark: SparkSession, table: str, out_dir: str, numbers: list[int] | None
     return summary
 
 
+def run_one(spark: SparkSession, index: int, table: str, output: str, log: str, constants: hits.Constants = hits.Constants()) -> dict:
+    """The query of a number from 0 on: its CSV, a log, and a row appended to summary.csv beside the CSV.
+
+    A query that there is not, or that fails, leaves an empty CSV; its status is ``unsupported`` or ``error``.
+    """
+    folder = os.path.dirname(os.path.abspath(output))
+    for made in (folder, os.path.dirname(os.path.abspath(log))):
+        os.makedirs(made, exist_ok=True)
+    number, began = index + 1, time.time()
+    with tempfile.TemporaryDirectory() as work:
+        row = dict.fromkeys(SUMMARY, 0) | {"status": "unsupported", "error": ""}
+        if number in hits.queries(constants):
+            try:
+                (row,) = run(spark, table, work, [number], constants)
+            except Exception as e:  # the table can't be read
+                row |= {"status": "error", "error": (str(e).splitlines() or [type(e).__name__])[0][:300]}
+        if row["status"] == "ok":
+            shutil.move(os.path.join(work, row["file"]), output)
+        else:
+            open(output, "w").close()
+    ended = time.time()
+    failed = int(row["status"] == "error")
+    single = {k: row[k] for k in ("status", "rows", "query_ms", "read_ms", "write_ms", "error")} | {
+        "query_index": index, "clickbench_query": number, "runner_exit_code": failed, "runner_total_ms": row["total_ms"], "wall_ms": round(1000 * (ended - began)),
+        "output_bytes": os.path.getsize(output), "output": output, "log": log,
+    }
+    with open(log, "w", encoding="utf-8") as f:
+        f.write(f"phase=query\nquery_index={index}\nclickbench_query={number}\ntable={table}\noutput={output}\nstart_epoch_ms={round(1000 * began)}\n")
+        f.write(f"status={single['status']}\nrunner_exit_code={failed}\nfinish_epoch_ms={round(1000 * ended)}\nerror={single['error']}\n")
+    summary = os.path.join(folder, "summary.csv")
+    new = not os.path.exists(summary)
+    with open(summary, "a", encoding="utf-8", newline="") as f:
+        writer = csv.DictWriter(f, SINGLE, lineterminator="\n")
+        if new:
+            writer.writeheader()
+        writer.writerow(single)
+    return single
+
+
 def explain(spark: SparkSession, table: str | None = None, numbers: list[int] | None = None) -> list[tuple]:
     """(query, scan, number of columns, columns joined by |) of each query."""
     df = spark.read.parquet(table) if table else spark.createDataFrame([], schema.hits_schema())
@@ -121,7 +165,7 @@ def convert(spark: SparkSession, source: str, target: str | None = None, schema_
 
 
 def main(args: list[str]) -> int:
-    if not args or args[0] not in ("run", "explain", "convert", "export"):
+    if not args or args[0] not in ("run", "one", "explain", "convert", "export"):
         print(__doc__)
         return 2
     spark = session.get_or_create()
@@ -133,6 +177,9 @@ def main(args: list[str]) -> int:
         for row in summary:
             print(",".join(str(row[k]) for k in SUMMARY))
         return int(any(r["status"] != "ok" for r in summary))
+    if command == "one":
+        index, table, output, log = rest
+        return run_one(spark, int(index), table, output, log)["runner_exit_code"]
     if command == "explain":
         print("query,scan,columns_count,columns")
         for row in explain(spark, numbers=[int(x) for x in rest]):

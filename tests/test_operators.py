@@ -160,3 +160,14 @@ def test_minutes_of_a_stream(spark, tmp_path):
 def test_division_by_type_errors(spark):
     with pytest.raises(PySparkException):
         spark.range(1).select(P.like(F.array(c("id")), "%x%")).collect()
+
+
+def test_default_names(ints):
+    aggs = [(A.sum0, "value"), (A.sum0, c("value") + 1), (A.count_all, None), (A.max_, "value", "top"), (A.min_, c("value"), None)]
+    df = ops.global_agg(ints, aggs)
+    assert df.columns == ["value", "aggregation_1", "aggregation_2", "top", "aggregation_4"]
+    named = ops.global_agg(ints, {"a": A.sum0(c("value")), "b": A.sum0(c("value") + 1), "c": A.count_all(), "d": A.max_("value"), "e": A.min_("value")})
+    assert values(df) == values(named)
+    groups = ops.group_agg(ints, ["value", c("value") % 2], [(A.count_all, None)])
+    assert groups.columns == ["value", "group_1", "aggregation_0"]
+    assert ops.group_agg(ints, [], [(A.count_all, None)]).count() == 1

@@ -112,6 +112,21 @@ def test_a_failing_query_is_recorded(spark, table, tmp_path):
     assert [r["status"] for r in out] == ["ok", "error"] and out[1]["error"]
 
 
+def test_single_runs_share_a_summary(spark, table, tmp_path):
+    hits_table, folder = str(table / "hits.parquet"), tmp_path / "out"
+    first = runner.run_one(spark, 0, hits_table, str(folder / "a.csv"), str(tmp_path / "logs" / "a.log"))
+    assert first["status"] == "ok" and first["clickbench_query"] == 1 and first["rows"] == 1
+    assert (folder / "a.csv").read_text() == "q1\n5\n" and first["output_bytes"] == 5
+    none = runner.run_one(spark, 43, hits_table, str(folder / "b.csv"), str(tmp_path / "logs" / "b.log"))
+    assert none["status"] == "unsupported" and (folder / "b.csv").read_text() == ""
+    bad = runner.run_one(spark, 0, str(tmp_path / "missing"), str(folder / "c.csv"), str(tmp_path / "logs" / "c.log"))
+    assert bad["status"] == "error" and bad["runner_exit_code"] == 1 and bad["error"]
+    lines = (folder / "summary.csv").read_text().splitlines()
+    assert lines[0] == ",".join(runner.SINGLE) and len(runner.SINGLE) == 14
+    assert [line.split(",")[2] for line in lines[1:]] == ["ok", "unsupported", "error"]
+    assert "status=ok\n" in (tmp_path / "logs" / "a.log").read_text()
+
+
 def test_explain(spark, table):
     found = {n: names for n, _, _, names in runner.explain(spark, str(table / "hits.parquet"), [1, 3, 24, 37])}
     assert found[1] == "" and found[3] == "AdvEngineID|ResolutionWidth" and found[37] == "CounterID|DontCountHits|EventDate|IsRefresh|URL"
