@@ -4,9 +4,9 @@ All n-grams (n = 1, 2) of the training texts are counted over the whole input: t
 counts to the segment of the hash space that each belongs to, as one block per segment, so a frequent
 n-gram is one entry per block.  A segment adds the counts up, quantises them to levels (level j: 2^(j-1) to
 2^j - 1) and sets bits for (n-gram, 1), ..., (n-gram, level) in its part of the filter, which has ENTRY_BITS bits for each of these entries: below
-1 % of absent entries read as present.  Every n-gram is in the filter at every size.  Up to MAX_BITS it is broadcast; beyond, its segments
-stay where they are, the distinct n-grams of chunks of texts are sent to their segments, and a byte for the level of each is sent back; the scores are
-the same.  A count is read by probing levels until one is absent, and stands for the middle of its level.  The score is the
+1 % of absent entries read as present.  Every n-gram is in the filter at every size.  A filter that can't exceed MAX_BITS is broadcast.  Otherwise chunks of texts send their distinct n-grams,
+with 0 for what only texts outside the training set have, to the segments, and a segment fills its part, reads the level of each distinct n-gram once and sends
+each chunk a byte for every n-gram it sent; the scores are the same.  A count is read by probing levels until one is absent, and stands for the middle of its level.  The score is the
 log10 probability of a text under p(w|v) = LAMBDA * c(vw) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), or the last
 fraction alone if c(v) is 0.
 
@@ -20,6 +20,7 @@ text N and V are 0; an empty table gives an empty result.  Ids keep their type.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from itertools import compress, repeat
 
@@ -36,8 +37,8 @@ HEAD = 200_000
 ENTRY_BITS, MAX_BITS, PROBES, LEVELS = 12, 1 << 31, 4, 40
 #: Training tokens per segment, the most segments, tokens whose n-grams are sorted at once, and distinct tokens that a task counts before it sends them.
 SEGMENT, MAX_SEGMENTS, BATCH, DISTINCT = 1 << 20, 1 << 16, 1 << 19, 150_000
-#: Texts of a chunk, as a power of two.
-CHUNK = 7
+#: Bytes of text in a chunk, texts longer than LONG times the mean aside, which are put into chunks of fewer; and chunks of a task.
+CHUNK, LONG, CHUNKS = 6 << 20, 8, 3
 LAMBDA = 0.5
 END, START = b"\n", np.uint64(0x9D39247E33776D41)
 KEY = np.uint64((1 << 48) - 1)
@@ -162,9 +163,8 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (3.0 * 2.0 ** (level - 1.0) - 1) / 2, 0.0)
 
 
-def _fill(key, parts):
-    """(segment, bits): a segment's part of the filter."""
-    keys, counts = totals(parts)
+def packed(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A segment's part of the filter, in bytes; n-grams counted 0 times set no bit."""
     level = levels(counts)
     bits = max(64, -(-ENTRY_BITS * int(level.sum()) // 8) * 8)
     flags = np.zeros(bits, dtype=np.uint8)
@@ -172,7 +172,12 @@ def _fill(key, parts):
         a, b = halves(keys[level >= j], j)
         for k in range(PROBES):
             flags[place(a, b, k, np.uint64(bits))] = 1
-    return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+    return np.packbits(flags, bitorder="little")
+
+
+def _fill(key, parts):
+    """(segment, bits): a segment's part of the filter."""
+    return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([packed(*totals(parts)).tobytes()], pa.binary())})
 
 
 class Bloom:
@@ -207,52 +212,75 @@ def probe(keys: np.ndarray, filter_: np.ndarray, first: np.ndarray, bits: np.nda
     return level
 
 
-def _asked(h: Head, texts: list[bytes]) -> np.ndarray:
-    """The distinct n-grams of some texts, in order, so by segment."""
-    words = [tokens(t) for t in texts]
-    return np.unique(np.concatenate([x for w in words for x in grams(h.hash(w, h.places(w)))]))
+def cut(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments that sorted keys belong to, and where the keys of each begin and end."""
+    seg = segment_of(keys, segments)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1])
+    return seg[starts].astype(np.int64), starts, np.append(starts[1:], len(keys))
 
 
 def _ask(head, segments: int):
-    """(chunk, segment, keys): the distinct n-grams of a chunk of texts, six bytes each, cut by segment."""
+    """(chunk, segment, keys, counts): the distinct n-grams of a chunk of texts, cut by segment, and how often its training texts have each.
+
+    Keys and counts are sent as the lowest bytes of all, then the next bytes of all, and so on: the high ones compress well, as keys are sorted."""
+    kept: dict = {}
 
     def run(key, rows):
-        keys = _asked(Head(*head.value), kernels.texts(rows.sort_by("uid").column("text").combine_chunks()))
-        seg = segment_of(keys, segments)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1])
-        raw = keys.view(np.uint8).reshape(-1, 8)[:, :6]
-        parts = [raw[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(keys)))]
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(parts), pa.int64()), "segment": pa.array(seg[starts].astype(np.int64)), "keys": pa.array(parts, pa.binary())})
+        h = kept.get("head") or kept.setdefault("head", Head(*head.value))
+        held = rows.column("held_out").to_pylist()
+        found: list = [[], []]
+        for at, t in zip(held, kernels.texts(rows.column("text").combine_chunks())):
+            words = tokens(t)
+            found[at] += grams(h.hash(words, h.places(words)))
+        keys, n = np.unique(np.concatenate(found[0] + found[1]), return_counts=True)
+        if found[1]:
+            other, less = np.unique(np.concatenate(found[1]), return_counts=True)
+            n[np.searchsorted(keys, other)] -= less
+        seg, starts, ends = cut(keys, segments)
+        raw, times = keys.view(np.uint8).reshape(-1, 8)[:, :6], n.astype(np.uint32).view(np.uint8).reshape(-1, 4)
+        both = [pa.array([x[a:b].T.tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()) for x in (raw, times)]
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(seg), pa.int64()), "segment": pa.array(seg), "keys": both[0], "counts": both[1]})
 
     return run
 
 
-def wide(raw: bytes) -> np.ndarray:
-    """Keys of six bytes each."""
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _answer(asked: pa.Table, part: pa.Table) -> pa.Table:
-    """(chunk, segment, levels) of the questions to a segment."""
-    own = np.frombuffer(part.column("bits")[0].as_py() if len(part) else bytes(8), np.uint8)
-    out = []
-    for raw in asked.column("keys").to_pylist():
-        keys = wide(raw)
-        out.append(probe(keys, own, np.zeros(len(keys), np.uint64), np.full(len(keys), 8 * len(own), np.uint64)).tobytes())
-    return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "levels": pa.array(out, pa.binary())})
+def _answer(key, asked):
+    """(chunk, segment, levels): a segment's part of the filter is filled with the counts that came with the questions, and read for each n-gram."""
+    blocks, times = ([np.frombuffer(x, np.uint8).reshape(n, -1).T for x in asked.column(c).to_pylist()] for c, n in (("keys", 6), ("counts", 4)))
+    ends = np.cumsum([len(x) for x in blocks]).tolist()
+    wide = np.zeros((ends[-1], 8), dtype=np.uint8)
+    wide[:, :6] = np.concatenate(blocks)
+    keys, where = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+    own = packed(keys, np.bincount(where, weights=np.ascontiguousarray(np.concatenate(times)).view(np.uint32).ravel()))
+    level = probe(keys, own, np.zeros(len(keys), np.uint64), np.full(len(keys), 8 * len(own), np.uint64))[where]
+    return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "levels": pa.array([level[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())})
 
 
-def _score_asked(head, total: int, kinds: int, names: list[str]):
+def _score_asked(head, segments: int, total: int, kinds: int, names: list[str]):
     """Scores of a chunk of texts from the answers to it."""
+    kept: dict = {}
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        h, rows = Head(*head.value), rows.sort_by("uid")
-        keys = _asked(h, kernels.texts(rows.column("text").combine_chunks()))
-        counts = middle(np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.int8).astype(float))
+        h = kept.get("head") or kept.setdefault("head", Head(*head.value))
         batches = rows.select(["uid", "doc", "held_out", "text"]).combine_chunks().to_batches()
-        return pa.Table.from_batches(_scores(h, lambda k: counts[np.searchsorted(keys, k)], None, total, kinds, names, batches))
+        # Words of large chunks aren't kept.
+        parts = [part for whole in batches for part in _split(h, whole)] if rows.column("text").nbytes <= 2 * CHUNK else None
+        split = lambda: iter(parts) if parts else (part for whole in batches for part in _split(h, whole))
+        keys, where = np.unique(np.concatenate([x for part in split() for x in part[3:]]), return_inverse=True)
+        read = answers.sort_by("segment").column("levels").to_pylist()
+        _, starts, ends = cut(keys, segments)
+        if [len(x) for x in read] != (ends - starts).tolist():
+            raise ValueError("the texts of a chunk changed between two reads of the table")
+        counts = middle(np.frombuffer(b"".join(read), np.int8).astype(float))
+
+        def counted():
+            at = 0
+            for batch, words, places, ones, twos in split():
+                end = at + 2 * len(ones)
+                yield batch, words, places, *counts[where[at:end]].reshape(2, -1)
+                at = end
+
+        return pa.Table.from_batches(_scores(h, total, kinds, names, counted()))
 
     return run
 
@@ -270,51 +298,62 @@ def _score(head, filter_, total: int, kinds: int, names: list[str]):
             kinds, where = np.unique(keys, return_inverse=True)
             return middle(bloom.levels(kinds).astype(float))[where]
 
-        yield from _scores(h, read, read(mix(h.hashes) & KEY), total, kinds, names, batches)
+        frequent = read(mix(h.hashes) & KEY)
+
+        def counted():
+            for whole in batches:
+                for batch, words, places, ones, twos in _split(h, whole):
+                    flat = np.concatenate(places)
+                    seen = flat >= 0
+                    one = np.zeros(len(flat))
+                    one[seen], one[~seen] = frequent[flat[seen]], read(ones[~seen])
+                    yield batch, words, places, one, read(twos)
+
+        yield from _scores(h, total, kinds, names, counted())
 
     return run
 
 
-def _scores(h: Head, read, frequent, total: int, kinds: int, names: list[str], batches):
+def _split(h: Head, whole: pa.RecordBatch):
+    """(rows, their words, places of these in the head, all unigrams, all bigrams) of some texts at a time."""
+    for batch in kernels.slices(whole, 384):
+        words = [tokens(t) for t in kernels.texts(batch.column(3))]
+        places = [h.places(w) for w in words]
+        pairs = [grams(h.hash(w, p)) for w, p in zip(words, places)]
+        if words:
+            yield batch, words, places, *(np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+
+
+def _scores(h: Head, total: int, kinds: int, names: list[str], parts):
     """A row for each text with what the head and the filter give, and a row for each distinct token outside the head.
 
-    read: counts of n-grams; frequent: those of the head's tokens, if they are there."""
-    for whole in batches:
-        for batch in kernels.slices(whole, 384):
-            words = [tokens(t) for t in kernels.texts(batch.column(3))]
-            places = [h.places(w) for w in words]
-            pairs = [grams(h.hash(w, p)) for w, p in zip(words, places)]
-            ones, twos = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-            size = np.array([len(w) for w in words])
-            begin = np.cumsum(size) - size
-            flat = np.concatenate(places)
-            seen = flat >= 0
-            one, two = np.zeros(len(flat)), read(twos)
-            if frequent is None:
-                one = read(ones)
-            else:
-                one[seen], one[~seen] = frequent[flat[seen]], read(ones[~seen])
-            # The count of the word before; texts begin with START, which is counted as often as END.
-            before = np.concatenate([[0.0], one[:-1]])
-            before[begin] = one[begin + size - 1]
-            share = np.where(before > 0, np.minimum(1.0, two / np.maximum(before, 1)), 0.0)
-            smooth = (one + 1) / (total + kinds + 1)
-            p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * smooth, smooth)
-            score = np.add.reduceat(np.log10(p), begin)
-            logs = np.add.reduceat(np.where(seen, h.logs[flat] if len(h.logs) else 0.0, 0.0), begin)
-            known = np.add.reduceat(seen.astype(np.int64), begin)
-            null = lambda m, t: pa.nulls(m, t)
-            m, kind = len(words), batch.column(1).type
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size), pa.array(known), pa.array(logs), pa.array(score), null(m, pa.binary()), null(m, pa.int64())], names=names)
-            at, rare, times = [], [], []
-            for i, (w, p) in enumerate(zip(words, places)):
-                n = Counter(compress(w, (p < 0).tolist()))
-                at += [i] * len(n)
-                rare += n
-                times += n.values()
-            if at:
-                m = len(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), null(m, kind), null(m, pa.bool_()), null(m, pa.int64()), null(m, pa.int64()), null(m, pa.float64()), null(m, pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=names)
+    parts: some rows at a time, their words, places of these in the head, counts of all unigrams and of all bigrams."""
+    for batch, words, places, one, two in parts:
+        size = np.array([len(w) for w in words])
+        begin = np.cumsum(size) - size
+        flat = np.concatenate(places)
+        seen = flat >= 0
+        # The count of the word before; texts begin with START, which is counted as often as END.
+        before = np.concatenate([[0.0], one[:-1]])
+        before[begin] = one[begin + size - 1]
+        share = np.where(before > 0, np.minimum(1.0, two / np.maximum(before, 1)), 0.0)
+        smooth = (one + 1) / (total + kinds + 1)
+        p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * smooth, smooth)
+        score = np.add.reduceat(np.log10(p), begin)
+        logs = np.add.reduceat(np.where(seen, h.logs[flat] if len(h.logs) else 0.0, 0.0), begin)
+        known = np.add.reduceat(seen.astype(np.int64), begin)
+        null = lambda m, t: pa.nulls(m, t)
+        m, kind = len(words), batch.column(1).type
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size), pa.array(known), pa.array(logs), pa.array(score), null(m, pa.binary()), null(m, pa.int64())], names=names)
+        at, rare, times = [], [], []
+        for i, (w, p) in enumerate(zip(words, places)):
+            n = Counter(compress(w, (p < 0).tolist()))
+            at += [i] * len(n)
+            rare += n
+            times += n.values()
+        if at:
+            m = len(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), null(m, kind), null(m, pa.bool_()), null(m, pa.int64()), null(m, pa.int64()), null(m, pa.float64()), null(m, pa.float64()), pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=names)
 
 
 def frequent(counts: DataFrame) -> DataFrame:
@@ -342,27 +381,35 @@ def _computed(docs: DataFrame, training: Column, id_col: str, text_col: str) ->
     text = F.coalesce(base.quoted(text_col), F.lit(""))
     learn = docs.filter(training).select(text.alias("text"))
     counts = base.checkpoint(learn.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total, kinds = counts.select(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    size = F.col("n") * (F.octet_length("token") + 1)
+    total, kinds, most, texts, read = counts.select(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n") + F.sum(F.floor(F.log2("n")) + 1), F.lit(0)),
+        F.coalesce(F.sum(F.when(F.col("token") == F.lit(END), F.col("n"))), F.lit(0)), F.coalesce(F.sum(size), F.lit(0)),
+    ).first()
     top = frequent(counts).toPandas()
     head = sc.broadcast(([bytes(x) for x in top["token"]], top["n"].to_numpy(dtype=np.float64)))
     segments = min(MAX_SEGMENTS, max(1, -(-total // SEGMENT)))
-    sent = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary").repartition(segments, "segment")
-    parts = base.checkpoint(sent.groupBy("segment").applyInArrow(_fill, "segment long, bits binary"))
-    size = 8 * (parts.select(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), base.quoted(id_col).alias("doc"), (~training).alias("held_out"), text.alias("text"))
     schema = ROWS.format(base.kind(docs, id_col))
     names = [c.split()[0] for c in ROWS.split(", ")]
     shared = None
-    if size <= MAX_BITS:
-        # The filter, MAX_BITS at most; plain values, as broadcasts are unpickled without this package.
+    if ENTRY_BITS * most <= MAX_BITS:
+        # A filter that is MAX_BITS at most even if no bigram occurs twice; plain values, as broadcasts are unpickled without this package.
+        sent = learn.mapInArrow(_send(head, segments), "segment long, keys binary, counts binary").repartition(segments, "segment")
+        parts = base.checkpoint(sent.groupBy("segment").applyInArrow(_fill, "segment long, bits binary"))
         shared = sc.broadcast(vars(Bloom({r["segment"]: r["bits"] for r in parts.toLocalIterator()}, segments)))
         rows = rows.mapInArrow(_score(head, shared, total, kinds, names), schema)
     else:
-        # Written once, so that questions and answers are of the same chunks.
-        chunked = base.checkpoint(rows.withColumn("chunk", F.shiftright("uid", CHUNK)))
-        asked = chunked.groupBy("chunk").applyInArrow(_ask(head, segments), "chunk long, segment long, keys binary").repartition(segments, "segment")
-        answers = asked.groupBy("segment").cogroup(parts.repartition(segments, "segment").groupBy("segment")).applyInArrow(_answer, "chunk long, segment long, levels binary")
-        rows = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_asked(head, total, kinds, names), schema)
+        mean = read / texts
+        exponent = min(12, max(0, round(math.log2(CHUNK / mean))))
+        finer = F.least(F.lit(exponent), F.greatest(F.lit(0), F.ceil(F.log2((F.octet_length("text") + 1) / (LONG * mean))).cast("int")))
+        # Both readers take the same columns, so that there is one exchange of texts.
+        chunk = F.expr(f"shiftleft(shiftright(uid, {exponent} - finer), 4) + finer")
+        tasks = max(1, -(-read * 7 // (6 * CHUNK * CHUNKS)))
+        dealt = rows.withColumn("finer", finer).withColumn("chunk", chunk).drop("finer").repartition(tasks, "chunk").groupBy("chunk")
+        asked = dealt.applyInArrow(_ask(head, segments), "chunk long, segment long, keys binary, counts binary").repartition(segments, "segment")
+        answers = asked.groupBy("segment").applyInArrow(_answer, "chunk long, segment long, levels binary").repartition(tasks, "chunk")
+        rows = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(_score_asked(head, segments, total, kinds, names), schema)
     # Tokens outside the head are joined with their counts; texts' own rows have no token and keep none.
     joined = rows.join(counts.select(F.col("token").alias("__token"), F.col("n").alias("c")), F.col("token") == F.col("__token"), "left")
     done = joined.groupBy("uid").agg(

@@ -543,6 +543,39 @@ def test_a_filter_beyond_the_broadcast_scores_the_same(docs, monkeypatch):
     assert plain() == one
 
 
+@pytest.mark.parametrize("chunk, long", [(2000, 8), (2000, 0.1), (1 << 40, 8)])
+def test_chunks_of_any_size_score_the_same(docs, chunk, long, monkeypatch):
+    from gneiss.llm import base
+
+    monkeypatch.setattr(lmscore, "SEGMENT", 4096)
+    monkeypatch.setattr(lmscore, "HEAD", 100)
+    plain = lambda: sorted([(*r[:5], round(r[5], 4), round(r[6], 9)) for r in rows(lmscore.score(docs, base.fold(F.col("doc_id"), 7) != 2))], key=repr)
+    one = plain()
+    monkeypatch.setattr(lmscore, "MAX_BITS", 4096)
+    monkeypatch.setattr(lmscore, "CHUNK", chunk)
+    monkeypatch.setattr(lmscore, "LONG", long)
+    assert plain() == one
+
+
+def test_what_a_task_does_once_for_all_chunks(monkeypatch):
+    import pyarrow as pa
+
+    class Sent:
+        value = ([b"a", b"b"], np.array([3.0, 2.0]))
+
+    built, probed = [], []
+    monkeypatch.setattr(lmscore, "Head", lambda *x, make=lmscore.Head: built.append(1) or make(*x))
+    monkeypatch.setattr(lmscore, "probe", lambda *x, read=lmscore.probe: probed.append(len(x[0])) or read(*x))
+    ask = lmscore._ask(Sent, 1)
+    asked = [ask((pa.scalar(k),), pa.table({"uid": [2 * k, 2 * k + 1], "held_out": [False, True], "text": ["a b c", "a z"]})) for k in range(5)]
+    assert len(built) == 1
+    # 4 unigrams and an end, 6 bigrams; those of the second text alone are asked with 0.
+    got = lmscore._answer((pa.scalar(0),), pa.concat_tables(asked))
+    assert probed == [11] and got.column("chunk").to_pylist() == [0, 1, 2, 3, 4]
+    # The others have 5 each, at level 3.
+    assert len({*got.column("levels").to_pylist()}) == 1 and sorted(got.column("levels")[0].as_py()) == [0] * 3 + [3] * 8
+
+
 # Classifier
 
 
